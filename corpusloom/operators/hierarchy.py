@@ -72,14 +72,17 @@ def hierarchy(links: DataFrame, id_col: str = "id", parent_col: str = "parent")
 
 
 def _contract(active: DataFrame, round_no: int) -> DataFrame:
-    """The active links with their fate in this round; those that live on with their new parent."""
-    parents = active.groupBy(F.col("parent").alias("id")).agg(F.lit(True).alias("inner"))
+    """The active links with their fate in this round; those that live on with their new parent.
+
+    A node that loses leaves in this round is not spliced in it, so no anchor goes in the same round as its records.
+    """
+    parents = active.groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("all_kids"))
     raked = active.join(parents, "id", "left")
-    leaves = raked.where("inner is null")
-    rest = raked.where("inner").drop("inner")
+    leaves = raked.where("all_kids is null")
+    rest = raked.where("all_kids is not null")
     only = rest.groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("kids"), F.min("id").alias("child"))
     heads = (coin(F.col("id"), round_no) == 1) & (coin(F.col("child"), round_no) == 0)
-    fate = F.when(F.col("id") == F.col("parent"), "core").when((F.col("kids") == 1) & heads, "splice").otherwise("live")
+    fate = F.when(F.col("id") == F.col("parent"), "core").when((F.col("all_kids") == 1) & (F.col("kids") == 1) & heads, "splice").otherwise("live")
     rest = rest.join(only, "id", "left").withColumn("fate", F.coalesce(fate, F.lit("live")))
     taken = rest.where("fate = 'splice'").select(F.col("child").alias("id"), F.col("parent").alias("up"), F.col("seg").alias("up_seg"), F.col("len").alias("up_len"), F.col("least").alias("up_least"))
     rest = rest.join(taken, "id", "left")
