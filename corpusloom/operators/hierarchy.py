@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,22 +51,27 @@ def hierarchy(links: DataFrame, id_col: str = "id", parent_col: str = "parent")
     nodes = cut(nodes.join(known, "parent", "left").withColumn("parent", F.when(F.col("known"), F.col("parent"))).drop("known"))
     hot = cut(hot_keys(nodes, "parent").select(F.col("parent").alias("anchor")))
     text = F.col("id").cast("string")
-    done = [nodes.where("parent is null").select("id", F.col("id").alias("root_id"), F.lit(0).alias("depth"), text.alias("path"), F.lit("tree").alias("status"))]
+    done = nodes.where("parent is null").select("id", F.col("id").alias("root_id"), F.lit(0).alias("depth"), text.alias("path"), F.lit("tree").alias("status"))
     active = nodes.where("parent is not null").select("id", "parent", text.alias("seg"), F.lit(1).alias("len"), F.col("id").alias("least"))
 
     records: list[DataFrame] = []
+    rings = False
     while True:
         state = cut(_contract(active, len(records)))
         fates = {r["fate"] for r in state.select("fate").distinct().collect()}
         if not fates:
             break
         if "core" in fates:
-            done.append(state.where("fate = 'core'").select("id", F.col("least").alias("root_id"), F.lit(-1).alias("depth"), F.lit("cycle").alias("path"), F.lit("cycle").alias("status")))
+            rings = True
+            done = done.unionByName(state.where("fate = 'core'").select("id", F.col("least").alias("root_id"), F.lit(-1).alias("depth"), F.lit("cycle").alias("path"), F.lit("cycle").alias("status")))
         records.append(state.where("fate in ('leaf', 'splice')"))
         active = state.where("fate = 'live'").select("id", "parent", "seg", "len", "least")
-    for record in reversed(records):
-        done.append(cut(_undo(record, reduce(DataFrame.unionByName, done), hot)))
-    return reduce(DataFrame.unionByName, done)
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for k, record in enumerate(reversed(records)):
+        # Records about double from round to round on the way back, so rewriting what is done costs no more than them.
+        done = done.unionByName(_undo(record, done, hot, rings)).coalesce(parts)
+        done = cut(done) if k + 1 < len(records) else done
+    return done
 
 
 def _contract(active: DataFrame, round_no: int) -> DataFrame:
@@ -99,12 +102,16 @@ def _contract(active: DataFrame, round_no: int) -> DataFrame:
     return rest.unionByName(leaves.select("id", "parent", "seg", "len", "least", F.lit("leaf").alias("fate"), F.lit(None).cast("long").alias("via")))
 
 
-def _undo(record: DataFrame, done: DataFrame, hot: DataFrame) -> DataFrame:
+def _undo(record: DataFrame, done: DataFrame, hot: DataFrame, rings: bool) -> DataFrame:
     """The nodes contracted in one round, resolved through their anchors, all of which are in ``done``."""
     anchors = done.select(F.col("id").alias("anchor"), "root_id", F.col("depth").alias("up_depth"), F.col("path").alias("up_path"), F.col("status").alias("up_status"))
+    if rings:  # what was spliced out above a node on a circle lies on the circle
+        on_ring = done.where("status = 'cycle'").select(F.col("id").alias("via"), F.lit(True).alias("ring"))
+        spliced = record.where("via is not null").join(on_ring, "via", "left")
+        record = spliced.unionByName(record.where("via is null").withColumn("ring", F.lit(False)))
+    else:
+        record = record.withColumn("ring", F.lit(False))
     rows = lookup_join(record.withColumnRenamed("parent", "anchor"), anchors, "anchor", "inner", hot)
-    children = done.where("status = 'cycle'").select(F.col("id").alias("via"), F.lit(True).alias("ring"))
-    rows = rows.join(children, "via", "left")
     status = F.when(F.col("up_status") == "tree", "tree").when(F.col("ring"), "cycle").otherwise("below")
     return rows.select(
         "id",

@@ -3,22 +3,41 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpusloom-"))
-    return context.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
+        named = context.getCheckpointDir()
+    return named
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the shared folder; a lost executor costs no recomputation before it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` computed once, written as a table to the shared folder and read back.
+
+    A lost executor costs no recomputation before it, the scan prunes columns, and the optimiser sees the true size
+    (the estimates of a checkpointed plan grow as a product with every join of a loop). :func:`clear` removes it.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Removes the tables that :func:`cut` wrote in this application; how many they were. No result may still need them."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
