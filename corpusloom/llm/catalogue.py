@@ -2,19 +2,64 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe
-from corpusloom.plans import spread
+from corpusloom.llm import bpe, formatting, lookalike, survivor
+from corpusloom.plans import cut, spread
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def concept_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return formatting.same_names(spread(read(spark, sf, "concepts").select("id", "name")))
+
+
+def p3_survivors(spark: SparkSession, sf: str) -> DataFrame:
+    groups = cut(concept_groups(spark, sf).where("copies > 1"))
+    fields = ["description", "category", "section_id"]
+    sections = read(spark, sf, "sections").select("id")
+    return survivor.survivors(read(spark, sf, "concepts"), groups, fields, read(spark, sf, "extraction_sources"), valid={"section_id": sections})[0]
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p3_survivors(spark, sf).select("first_id", "field", "concept_id")
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return concept_groups(spark, sf).where("id <> first_id").select("first_id", F.col("id").alias("concept_id"))
+
+
+def p4_copies(spark: SparkSession, sf: str) -> DataFrame:
+    return concept_groups(spark, sf).where("id = first_id").select("first_id", "copies")
+
+
+TEXTS = (("concepts", "name"), ("paragraphs", "text"), ("concept_facts", "fact_text"))
+
+
+def p5_texts(spark: SparkSession, sf: str) -> DataFrame:
+    parts = [read(spark, sf, table).select(F.lit(table).alias("table_name"), F.col("id").alias("row_id"), F.col(field).alias("text")) for table, field in TEXTS]
+    return lookalike.one_form(reduce(DataFrame.unionByName, parts), "text")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p5_texts(spark, sf).where("__damaged").select("table_name", "row_id").distinct()
+
+
+def p5_canonical(spark: SparkSession, sf: str) -> DataFrame:
+    return p5_texts(spark, sf).select("table_name", "row_id", F.col("__text").alias("text"))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_corpus(spread(read(spark, sf, "documents").select("doc_id", "text")))
 
 
-QUERIES = {"p8_ids": p8_ids}
+QUERIES = {
+    "p3_found": p3_found, "p3_survivors": p3_survivors, "p4_found": p4_found, "p4_copies": p4_copies,
+    "p5_found": p5_found, "p5_canonical": p5_canonical, "p8_ids": p8_ids,
+}
 ORACLE: dict[str, str] = {}
