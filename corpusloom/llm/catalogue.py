@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, formatting, lookalike, survivor
+from corpusloom.llm import bpe, formatting, leaks, lookalike, survivor
 from corpusloom.plans import cut, spread
 
 
@@ -58,8 +58,17 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_corpus(spread(read(spark, sf, "documents").select("doc_id", "text")))
 
 
+def p9_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.leaks(spread(read(spark, sf, "documents").select("doc_id", "text")), read(spark, sf, "eval_items"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p9_leaks(spark, sf).select("doc_id", "item_id").distinct()
+
+
 QUERIES = {
     "p3_found": p3_found, "p3_survivors": p3_survivors, "p4_found": p4_found, "p4_copies": p4_copies,
     "p5_found": p5_found, "p5_canonical": p5_canonical, "p8_ids": p8_ids,
+    "p9_found": p9_found, "p9_leaks": p9_leaks,
 }
 ORACLE: dict[str, str] = {}
