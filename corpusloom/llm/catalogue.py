@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, formatting, leaks, lookalike, survivor
+from corpusloom.llm import bpe, formatting, leaks, lookalike, survivor, truncation
 from corpusloom.plans import cut, spread
 
 
@@ -66,9 +66,27 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return p9_leaks(spark, sf).select("doc_id", "item_id").distinct()
 
 
+def p7_scored(spark: SparkSession, sf: str) -> DataFrame:
+    parts = [
+        read(spark, sf, table).select(F.lit(table).alias("table_name"), F.col("id").alias("row_id"), "source", F.col(field).alias("text"))
+        for table, field in (("concepts", "quote"), ("concept_facts", "fact_text"))
+    ]
+    return truncation.truncated(reduce(DataFrame.unionByName, map(spread, parts)))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p7_scored(spark, sf).where("cut").select("table_name", "row_id").distinct()
+
+
+def p7_rates(spark: SparkSession, sf: str) -> DataFrame:
+    rows = p7_scored(spark, sf).select("table_name", "row_id", "source", "cut").distinct()
+    return rows.groupBy("table_name", "source").agg(F.count(F.lit(1)).alias("texts"), F.round(F.avg(F.col("cut").cast("int")), 4).alias("share_cut"))
+
+
 QUERIES = {
     "p3_found": p3_found, "p3_survivors": p3_survivors, "p4_found": p4_found, "p4_copies": p4_copies,
     "p5_found": p5_found, "p5_canonical": p5_canonical, "p8_ids": p8_ids,
     "p9_found": p9_found, "p9_leaks": p9_leaks,
+    "p7_found": p7_found, "p7_rates": p7_rates,
 }
 ORACLE: dict[str, str] = {}
