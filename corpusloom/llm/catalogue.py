@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, formatting, leaks, lookalike, survivor, truncation
+from corpusloom.llm import bpe, formatting, harmful, leaks, lookalike, survivor, truncation
 from corpusloom.plans import cut, spread
 
 
@@ -83,10 +83,30 @@ def p7_rates(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("table_name", "source").agg(F.count(F.lit(1)).alias("texts"), F.round(F.avg(F.col("cut").cast("int")), 4).alias("share_cut"))
 
 
+def _severity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "source", "text")
+    model = harmful.train(*harmful.graded_texts(docs, read(spark, sf, "doc_labels")))
+    return harmful.severity(spread(docs), model)
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _severity(spark, sf).where(F.col("severity") >= harmful.SEVERE).select("doc_id")
+
+
+def p10_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return _severity(spark, sf).select("doc_id", F.round("severity", 3).alias("severity"))
+
+
+def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
+    bad = (F.col("severity") >= harmful.SEVERE).cast("int")
+    return _severity(spark, sf).groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.round(F.avg(bad), 4).alias("share_harmful"))
+
+
 QUERIES = {
     "p3_found": p3_found, "p3_survivors": p3_survivors, "p4_found": p4_found, "p4_copies": p4_copies,
     "p5_found": p5_found, "p5_canonical": p5_canonical, "p8_ids": p8_ids,
     "p9_found": p9_found, "p9_leaks": p9_leaks,
     "p7_found": p7_found, "p7_rates": p7_rates,
+    "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates,
 }
 ORACLE: dict[str, str] = {}
