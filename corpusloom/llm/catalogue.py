@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, formatting, harmful, leaks, lookalike, survivor, truncation
+from corpusloom.llm import bpe, formatting, harmful, leaks, lookalike, scanned, survivor, truncation
 from corpusloom.plans import cut, spread
 
 
@@ -102,11 +102,17 @@ def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
     return _severity(spark, sf).groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.round(F.avg(bad), 4).alias("share_harmful"))
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    pages, paragraphs = read(spark, sf, "pages"), read(spark, sf, "paragraphs")
+    return scanned.damage(spread(pages.select("id", "textbook_id", "page_number", "raw_text")), spread(paragraphs.select("id", "page_id", "text")))
+
+
 QUERIES = {
     "p3_found": p3_found, "p3_survivors": p3_survivors, "p4_found": p4_found, "p4_copies": p4_copies,
     "p5_found": p5_found, "p5_canonical": p5_canonical, "p8_ids": p8_ids,
     "p9_found": p9_found, "p9_leaks": p9_leaks,
     "p7_found": p7_found, "p7_rates": p7_rates,
     "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates,
+    "p1_found": p1_found,
 }
 ORACLE: dict[str, str] = {}
