@@ -26,7 +26,8 @@ GATHERED = 400_000
 _NUMBER = regex.compile(r"^(?P<lead>\s*)(?P<open>[-–—\[(]\s?|p\.\s?|page\s|seite\s)?(?P<n>[0-9lIOoSB|]{1,5}|[ivxlcIVXLC1]{1,8})(?P<of>\s?/\s?[0-9lIOoSB|]{1,5})?(?P<close>\s?[-–—\])])?\s*$", regex.I)
 _NUMBERED = regex.compile(r"^\s*(?:[0-9lIO|]{1,5}|[ivxlc]{1,7})\s{3,}(?P<t>\S.*)$|^(?P<t>\S.*?)\s{2,}[|]\s{2,}\S{1,7}\s*$")
 _CHAPTER = regex.compile(r"^\s*\w{2,3}[.,|]?.?\s?[0-9lIO|]{1,3}\s[·.~^|]\s")
-_HEADING = regex.compile(r"^\s*(?:§\s?)?(?:[0-9]+|[A-Z])(?:[.][0-9]+)*[.:]?\s\p{L}")
+_HEADING = regex.compile(r"^\s*(?:§\s?)?(?:[0-9]+(?:[.][0-9]+)*|[A-Z](?:[.][0-9]+)+)[.:]?\s\p{L}")
+_PARTED = regex.compile(r"\s[—–|·]\s")
 _BROKEN = regex.compile(r"([\p{L}\p{N}'’^~·|!(\-]*\p{L}[\p{L}\p{N}^~·|!(]*)[-–¬­]\s*$")
 _FIRST = regex.compile(r"\s*([\p{L}^~·|!0-9(][\p{L}\p{N}^~·|!(.'’\-]*)")
 _AROUND = ".,;:?\"“”„'’‘()[]{}—–…«»*_`"
@@ -71,24 +72,28 @@ def page_number(line: str) -> tuple[bool, int, bool] | None:
 
 
 def header_keys(line: str) -> list[str]:
-    """Keys of a line that could be a running header: its letters without page numbers, and with each word left out."""
+    """Keys of a line that could be a running header: its letters without page numbers, and with each word left out;
+    after them, marked, the parts of a line that is parted by a dash or bar."""
     text = line.strip()
     if not 4 < len(text) <= 110 or text[-1] in ".;,?!" or _HEADING.match(line) and not _NUMBERED.match(line):
         return []
     m = _NUMBERED.match(line)
-    words = _LETTERS.sub("", (m["t"] if m else text).lower()).split()
-    words = [w for w in words if len(w) > 1]
+    words = [w for w in _LETTERS.sub("", (m["t"] if m else text).lower()).split() if len(w) > 1]
     if len(words) < 2:
         return []
     keys = [" ".join(words)]
     if len(words) > 2:
         keys += [" ".join([*words[:k], "*", *words[k + 1 :]]) for k in range(len(words))]
+    parts = _PARTED.split(text)
+    if len(parts) > 1:
+        keys += ["= " + p for part in parts if " " in (p := " ".join(w for w in _LETTERS.sub("", part.lower()).split() if len(w) > 1))]
     return keys
 
 
 def _header_score(line: str, first: bool, filter_: np.ndarray) -> float:
     """Log-odds of header against body by the look of a line."""
-    text = line.strip()
+    m = _NUMBERED.match(line)
+    text = (m["t"] if m else line).strip()
     if len(text) < 4 or len(text) > 110:
         return -9.0
     score = -4.0
@@ -97,19 +102,22 @@ def _header_score(line: str, first: bool, filter_: np.ndarray) -> float:
         score += 6
     elif any(_in(filter_, hash_of("h " + k)) for k in keys[1:]):
         score += 5
-    if _NUMBERED.match(line):
+    if m:
         score += 5
     if _CHAPTER.match(line):
         score += 4
     letters = [c for c in text if c.isalpha()]
     words = [w for w in text.split() if len(w) > 3 and w[0].isalpha()]
+    high = sum(w[0].isupper() for w in words)
     if letters and sum(c.isupper() for c in letters) > 0.8 * len(letters) and len(letters) > 6:
         score += 4
-    elif words and all(w[0].isupper() for w in words) and len(words) > 1:
+    elif words and high == len(words) > 1:
         score += 3
+    elif high < 0.6 * len(words):
+        score -= 6
     if text[-1] in ".;,?!" or text[0].islower():
         score -= 5
-    if _HEADING.match(line) and not _NUMBERED.match(line):
+    if _HEADING.match(line) and not m:
         score -= 8
     if text[0] in "[(":
         score -= 4
@@ -138,7 +146,7 @@ def label_lines(lines: list[str], filter_: np.ndarray, whole_page: bool) -> tupl
             continue
         near = k < 2 or bool(numbers[k - 1]) if whole_page else True
         text = line.lstrip()
-        likely = near and text and not text[0].islower() and line.rstrip()[-1:] != "."
+        likely = near and text and (not text[0].islower() or _NUMBERED.match(line)) and line.rstrip()[-1:] != "."
         scores.append({"h": _header_score(line, whole_page and k == 0, filter_) if likely else -9.0, "n": -9.0, "b": 0.0})
     best = {"s": (0.0, "")}
     for s in scores:
