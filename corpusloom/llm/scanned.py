@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -30,6 +30,7 @@ _HEADING = regex.compile(r"^\s*(?:§\s?)?(?:[0-9]+(?:[.][0-9]+)*|[A-Z](?:[.][0-9
 _PARTED = regex.compile(r"\s[—–|·]\s")
 _BROKEN = regex.compile(r"([\p{L}\p{N}'’^~·|!(\-]*\p{L}[\p{L}\p{N}^~·|!(]*)[-–¬­]\s*$")
 _FIRST = regex.compile(r"\s*([\p{L}^~·|!0-9(][\p{L}\p{N}^~·|!(.'’\-]*)")
+_PLAIN = re.compile(r"(?:^|\s)[a-zß-ÿ]\w{3,}.*?\s[a-zß-ÿ]\w{3,}")
 _AROUND = ".,;:?\"“”„'’‘()[]{}—–…«»*_`"
 _LETTERS = regex.compile(r"[^\p{L} ]+")
 _DIGITS = str.maketrans("lIOoSB|", "1100581")
@@ -130,6 +131,8 @@ _STEP = {
     "n": {"h": 2.0, "n": -3.0, "b": 0.0}, "b": {"h": -1.0, "n": -0.5, "b": 0.0},
 }
 
+_BODY = {"h": -9.0, "n": -9.0, "b": 0.0}
+
 
 def label_lines(lines: list[str], filter_: np.ndarray, whole_page: bool) -> tuple[str, dict[int, tuple[int, bool]]]:
     """A label for each line: h header, n page number, b body; and (value, roman) of lines that are a bare number.
@@ -139,15 +142,19 @@ def label_lines(lines: list[str], filter_: np.ndarray, whole_page: bool) -> tupl
     """
     numbers = [page_number(x) if len(x) < 16 else None for x in lines]
     bare = {k: (n[1], n[2]) for k, n in enumerate(numbers) if n and not n[0]}
-    scores = []
+    scores, open_ = [], False
     for k, (line, n) in enumerate(zip(lines, numbers)):
+        score = _BODY
         if n:
-            scores.append({"h": -9.0, "n": 5.0 if n[0] else -1.0, "b": 0.0})
-            continue
-        near = k < 2 or bool(numbers[k - 1]) if whole_page else True
-        text = line.lstrip()
-        likely = near and text and (not text[0].islower() or _NUMBERED.match(line)) and line.rstrip()[-1:] != "."
-        scores.append({"h": _header_score(line, whole_page and k == 0, filter_) if likely else -9.0, "n": -9.0, "b": 0.0})
+            score = {"h": -9.0, "n": 5.0 if n[0] else -1.0, "b": 0.0}
+        elif (not whole_page or k < 2 or numbers[k - 1]) and 4 < len(line) < 120 and line[-1] != ".":
+            # two longer words in lower case are a sentence's, whatever else a line is like
+            if not _PLAIN.search(line):
+                score = {"h": _header_score(line, whole_page and k == 0, filter_), "n": -9.0, "b": 0.0}
+        open_ |= score is not _BODY
+        scores.append(score)
+    if not open_:
+        return "b" * len(lines), bare
     best = {"s": (0.0, "")}
     for s in scores:
         best = {to: max((score + _STEP[last][to] + s[to], path + to) for last, (score, path) in best.items()) for to in "hnb"}
@@ -169,8 +176,8 @@ def _variants(token: str) -> tuple[str, ...]:
     return (w, edge) if edge != w and edge and (edge[0] in "(!|" or edge[-1] in "!|(") and ")" not in edge else (w,)
 
 
-def _words(lines: list[str], labels: str) -> tuple[list[tuple[int, str]], list[tuple[int, str, str]]]:
-    """(line, token) of whole words in body lines, and (line, first, second half) of words broken over two of them."""
+def _words(lines: list[str], labels: str) -> tuple[list[tuple[int, list[str]]], list[tuple[int, str, str]]]:
+    """(line, tokens) of whole words in body lines, and (line, first, second half) of words broken over two of them."""
     body = [k for k, x in enumerate(labels) if x == "b" and lines[k].strip()]
     words, broken, skip = [], [], False
     for n, k in enumerate(body):
@@ -185,7 +192,7 @@ def _words(lines: list[str], labels: str) -> tuple[list[tuple[int, str]], list[t
             if second and not f[1][0].isupper() | f[1][0].isdigit() and first:
                 broken.append((k, first, second))
                 end, skip = end - 1, True
-        words.extend((k, t) for t in tokens[begin:end])
+        words.append((k, tokens[begin:end]))
     return words, broken
 
 
@@ -224,7 +231,8 @@ def _gather(rows: DataFrame) -> DataFrame:
                     if n and not n[2] and page == page and page is not None and book == book:
                         offsets[f"{int(book)}\t{int(page) - n[1]}"] += 1
                 words, broken = _words(lines, labels)
-                tokens.update(t for _, t in words)
+                for _, t in words:
+                    tokens.update(t)
                 joined.update(a + z for _, a, z in broken)
             if len(tokens) + len(joined) + len(keys) > GATHERED:
                 yield from flush()
@@ -286,7 +294,7 @@ def _cases(rows: DataFrame, bits: np.ndarray) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, known = sent.value, {}
+        bits, sound = sent.value, set()
         for batch in batches:
             out = []
             for table, row, page, text in zip(batch["table_name"], batch["row_id"], batch["page_id"], batch["text"]):
@@ -303,14 +311,17 @@ def _cases(rows: DataFrame, bits: np.ndarray) -> DataFrame:
                     elif k in bare:
                         out.append((*at, k + 1, "number", "r" if bare[k][1] else "", "", bare[k][0]))
                 words, broken = _words(lines, labels)
-                for k, t in words:
-                    hit = known.get(t)
-                    if hit is None:
-                        if len(known) > GATHERED:
-                            known.clear()
-                        hit = known[t] = next((w for w in _variants(t) if w and _in(bits, hash_of("m " + w))), "")
-                    if hit:
-                        out.append((*at, k + 1, "misread", hit, "", None))
+                for k, line_words in words:
+                    for t in line_words:
+                        if t in sound:
+                            continue
+                        hit = next((w for w in _variants(t) if w and _in(bits, hash_of("m " + w))), "")
+                        if hit:
+                            out.append((*at, k + 1, "misread", hit, "", None))
+                        else:
+                            if len(sound) > GATHERED:
+                                sound.clear()
+                            sound.add(t)
                 out.extend((*at, k + 1, "hyphen", a, z, None) for k, a, z in broken)
             frame = pd.DataFrame(out, columns=["table_name", "row_id", "page_id", "line_no", "kind", "a", "b", "value"])
             frame["value"] = frame["value"].astype("Int64")
