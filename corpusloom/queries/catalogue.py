@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.queries import integrity
+from corpusloom.queries import integrity, reference
 
-QUERIES = {**integrity.QUERIES}
-ORACLE = {**integrity.ORACLE}
+QUERIES = {**integrity.QUERIES, **reference.QUERIES}
+ORACLE = {**integrity.ORACLE, **reference.ORACLE}

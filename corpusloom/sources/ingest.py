@@ -14,7 +14,7 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     Within the row: no shuffle, no window. Null texts have no lines.
     """
-    kept = F.filter(F.transform(F.split(text_col, "\n"), F.trim), lambda x: x.rlike(r"\S"))
+    kept = F.filter(F.transform(F.split(text_col, "\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"\S"))
     return docs.select(id_col, F.posexplode(kept).alias("line_no", "text"))
 
 
