@@ -107,6 +107,14 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return scanned.damage(spread(pages.select("id", "textbook_id", "page_number", "raw_text")), spread(paragraphs.select("id", "page_id", "text")))
 
 
+def p1_text(spark: SparkSession, sf: str) -> DataFrame:
+    pages, paragraphs = read(spark, sf, "pages"), read(spark, sf, "paragraphs")
+    rows = pages.select(F.lit("pages").alias("table_name"), F.col("id").alias("row_id"), F.col("raw_text").alias("text")).unionByName(
+        paragraphs.select(F.lit("paragraphs").alias("table_name"), F.col("id").alias("row_id"), "text")
+    )
+    return scanned.repaired(rows, p1_found(spark, sf))
+
+
 QUERIES = {
     "p3_found": p3_found, "p3_survivors": p3_survivors, "p4_found": p4_found, "p4_copies": p4_copies,
     "p5_found": p5_found, "p5_canonical": p5_canonical, "p8_ids": p8_ids,
@@ -114,5 +122,6 @@ QUERIES = {
     "p7_found": p7_found, "p7_rates": p7_rates,
     "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates,
     "p1_found": p1_found,
+    "p1_text": p1_text,
 }
 ORACLE: dict[str, str] = {}

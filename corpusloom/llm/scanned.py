@@ -373,3 +373,70 @@ def damage(pages: DataFrame, paragraphs: DataFrame) -> DataFrame:
     pair = F.concat_ws("\n", "a", "b")
     hyphen = lookup_join(split.withColumn("pair", pair), best.select(pair.alias("pair"), "word"), "pair", "inner").select("table_name", "row_id", "line_no", "kind", "word")
     return plain.unionByName(bare).unionByName(misread).unionByName(hyphen).distinct()
+
+
+def reassemble(text: str, cases: list[tuple[int, str, str]]) -> str:
+    """A text as continuous paragraphs: headers and page numbers left out, broken words joined, misread words replaced.
+
+    A paragraph ends where a line ends a sentence and is clearly shorter than the widest; lines of numbers or formulas,
+    headings and captions stand by themselves. Paragraphs are parted by blank lines.
+    """
+    lines = text.split("\n")
+    gone = {n for n, kind, _ in cases if kind in ("header", "page_number")}
+    width = max((len(x.rstrip()) for k, x in enumerate(lines) if k + 1 not in gone), default=0)
+    wrong: dict[int, list[str]] = {}
+    joined: dict[int, str] = {}
+    for n, kind, word in cases:
+        if kind == "misread":
+            wrong.setdefault(n, []).append(word)
+        elif kind == "hyphen":
+            joined[n] = word
+    out: list[list[str]] = [[]]
+    drop_first = False
+    for n, line in enumerate(lines, 1):
+        if n in gone or not line.strip():
+            continue
+        tokens = line.split()
+        if drop_first and tokens:
+            tail = regex.search(r"[.,;:!?)\]”\"']+$", tokens[0])
+            if tail and out[-1]:
+                out[-1][-1] += tail[0]
+            tokens = tokens[1:]
+        drop_first = False
+        for word in wrong.get(n, ()):
+            for k, t in enumerate(tokens):
+                if any(word == r.lstrip("2") for v in _variants(t) for r in readings(v)):
+                    core = next(v for v in reversed(_variants(t)) if any(word == r.lstrip("2") for r in readings(v)))
+                    at = t.lower().find(core)
+                    fixed = word.capitalize() if t[at : at + 1].isupper() else word
+                    tokens[k] = t[:at] + fixed + t[at + len(core) :]
+                    break
+        if n in joined and tokens:
+            m = regex.match(r"^[\"“(\[]*", tokens[-1])
+            word = joined[n]
+            tokens[-1] = m[0] + (word[:1].upper() + word[1:] if tokens[-1][len(m[0]) :][:1].isupper() else word)
+            drop_first = True
+        letters = sum(c.isalpha() for c in line)
+        alone = letters < 0.4 * len(line.strip()) or bool(_HEADING.match(line))
+        if alone and out[-1]:
+            out.append([])
+        out[-1].extend(tokens)
+        if alone or not drop_first and line.rstrip()[-1:] in ".?!" and len(line.rstrip()) < 0.85 * width:
+            out.append([])
+    return "\n\n".join(" ".join(p) for p in out if p)
+
+
+def repaired(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(table_name, row_id, text): every text of ``rows`` reassembled by the cases found in it.
+
+    The cases of one text meet in one row, no more of them than it has words. A null text stays null, repeated rows stay.
+    """
+    per = found.groupBy("table_name", "row_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "kind", "word"))).alias("cases"))
+    joined = rows.select("table_name", "row_id", "text").join(per, ["table_name", "row_id"], "left")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = [None if t is None else reassemble(t, [(c["line_no"], c["kind"], c["word"]) for c in (cs if cs is not None else ())]) for t, cs in zip(b["text"], b["cases"])]
+            yield pd.DataFrame({"table_name": b["table_name"], "row_id": b["row_id"], "text": np.array(texts, object)})
+
+    return joined.mapInPandas(run, "table_name string, row_id long, text string")

@@ -230,3 +230,10 @@ def test_page_numbers():
     assert scanned.page_number("[l2]") == (True, 12, False)
     assert scanned.page_number("32 / 115")[0] and not scanned.page_number("75")[0]
     assert scanned.page_number("words") is None and math.isclose(scanned.roman("xiv"), 14)
+
+
+def test_reassembly():
+    text = "HEAD\nThe esti^mator of the vari-\n14\nance, holds here.\n7  8  9\nA new para-\ngraph that is as wide as all others"
+    cases = [(1, "header", ""), (2, "misread", "estimator"), (2, "hyphen", "variance"), (3, "page_number", ""), (6, "hyphen", "paragraph")]
+    assert scanned.reassemble(text, cases) == "The estimator of the variance, holds here.\n\n7 8 9\n\nA new paragraph that is as wide as all others"
+    assert scanned.reassemble("", []) == ""
