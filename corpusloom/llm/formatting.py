@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.lookalike import canonical, letter_model
-from corpusloom.plans import lookup_join
+from corpusloom.plans import cut, lookup_join
 
 _SET_OFF = regex.compile(r"[,;()\[\]{}，；（）［］]+")
 _NOT_NAMING = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
@@ -73,6 +73,7 @@ def same_names(records: DataFrame, id_col: str = "id", name_col: str = "name", m
     rows = records.select(F.col(id_col).alias("id"), F.col(name_col).alias("name")).where("id is not null and name is not null").groupBy("id").agg(F.min("name").alias("name"))
     rows = rows.withColumn("f", _forms(F.col("name"), model)).select("id", F.col("f.straight").alias("straight"), F.col("f.moved").alias("moved")).where("straight <> ''")
     rows = rows.withColumn("form", F.when(F.col("straight") == F.col("moved"), F.col("straight")).otherwise(F.concat_ws("\n", "straight", "moved"))).select("id", "form")
+    rows = cut(rows)  # the forms are made in Python, once
     forms = rows.groupBy("form").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     parts = F.split("form", "\n")
     forms = forms.withColumn("straight", parts[0]).withColumn("moved", F.when(F.size(parts) > 1, parts[1]))
