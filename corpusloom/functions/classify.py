@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -48,7 +49,10 @@ DEFAULT = Profile()
 
 def is_header(text: Column, size: Column | None = None, profile: Profile = DEFAULT) -> Column:
     """A section header: not numbers only, no formula, no imprint; in larger type, or numbered like a section."""
-    t = strip(text)
+    return once(strip(text), lambda t: _header(t, size, profile))
+
+
+def _header(t: Column, size: Column | None, profile: Profile) -> Column:
     signs = "".join("\\" + c if c in "|^]-[\\" else c for c in profile.math_signs)
     barred = t.rlike(r"^[\d.\s,\-]+$") | t.rlike(f"[{signs}]") | t.rlike(r"\.\s*\.\s*\.") | t.startswith("This is page")
     barred = reduce(lambda a, b: a | b, [t.contains(x) for x in profile.imprint], barred)
@@ -58,34 +62,47 @@ def is_header(text: Column, size: Column | None = None, profile: Profile = DEFAU
     top = F.split(number, r"\.")[0].try_cast("bigint")
     numbered = (number != "") & ~number.startswith("0") & (top <= profile.chapters) & ((word_count(title) >= 2) | (F.length(title) >= 8))
     large = F.lit(False) if size is None else F.coalesce((size > profile.body_size * profile.ratio) & t.rlike(r"\p{L}") & (F.length(t) > 3), F.lit(False))
-    return ~barred & short & (large | numbered)
+    # the cheap test for a number or larger type goes first
+    likely = t.rlike(r"^[1-9]") if size is None else F.lit(True)
+    return likely & short & (large | numbered) & ~barred
 
 
 def is_equation(text: Column) -> Column:
     """Short, and less than three in ten of the characters other than spaces are letters."""
-    t = strip(text)
+    return once(strip(text), _equation)
+
+
+def _equation(t: Column) -> Column:
     total = F.length(F.replace(t, F.lit(" "), F.lit("")))
     letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
     return (F.length(t) < 80) & (total > 0) & (letters * 10 < total * 3)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row, however often it is used: a CASE would repeat it per branch."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def paragraph_type(text: Column, size: Column | None = None, page: Column | None = None, pages: Column | None = None, profile: Profile = DEFAULT) -> Column:
     """One of 13 types by the first rule that holds; narrative if none does. Null text gives narrative."""
-    t = strip(text)
+    return once(strip(text), lambda t: _type_of(t, size, page, pages, profile))
+
+
+def _type_of(t: Column, size: Column | None, page: Column | None, pages: Column | None, profile: Profile) -> Column:
     tail = F.lit(False) if page is None or pages is None else F.coalesce(page >= pages * 0.9, F.lit(False))
-    environment = lambda w: t.rlike(rf"^{w}\s*\d*\.?\s") | t.rlike(rf"^{w}\.?\s*$")
+    environment = lambda w: t.rlike(rf"^{w}(?:\s*\d*\.?\s|\.?\s*$)")
     return first_match(
         [
             ("narrative", t.isNull() | (t == "")),
             ("figure_caption", t.rlike(r"^(?:FIGURE|Figure)\s*\d")),
             ("table_caption", t.rlike(r"^(?:TABLE|Table)\s*\d")),
-            ("section_header", is_header(text, size, profile)),
+            ("section_header", _header(t, size, profile)),
             ("definition", t.rlike(r"(?i)^definition(?![A-Za-z0-9_])|is defined as(?![A-Za-z0-9_])|we define(?![A-Za-z0-9_])")),
             *((w.lower(), environment(w)) for w in ("Theorem", "Lemma", "Corollary")),
             ("proof", t.rlike(r"^Proof\.?(?:\s|$)")),
             ("example", environment("Example")),
             ("exercise", environment(r"(?:Exercise|Ex\.)")),
-            ("equation", is_equation(text)),
+            ("equation", _equation(t)),
             ("bibliography", tail & (t.rlike(r"^\[\d+\]") | t.rlike(r"^[A-Z][a-z]+,?\s.*\(\d{4}\)"))),
         ],
         "narrative",
@@ -98,7 +115,10 @@ def _count(c: Column, ch: str) -> Column:
 
 def reject_reason(name: Column, page: Column | None = None, profile: Profile = DEFAULT) -> Column:
     """Why a name is no concept: the first of about thirty reasons, null if none holds."""
-    n = strip(name)
+    return once(strip(name), lambda n: _reason(n, page, profile))
+
+
+def _reason(n: Column, page: Column | None, profile: Profile) -> Column:
     low = F.lower(n)
     letters = F.regexp_replace(n, "[^a-zA-Z]", "")
     front = F.lit(False) if page is None else F.coalesce((page >= 0) & (page < profile.front_pages), F.lit(False))
