@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.plans import cut
+
 
 def counts(df: DataFrame, *by: str, nulls: str | None = None) -> DataFrame:
     """Rows per group; a null group bears the name ``nulls``, if one is given."""
@@ -31,6 +33,26 @@ def nested(df: DataFrame, by: list[str], order: list[Column], **fields: Column)
     return df.groupBy(*by).agg(F.to_json(F.transform(got, lambda x: x["v"])).alias("items"))
 
 
+def nested_chunks(df: DataFrame, by: list[str], order: list[Column], size: int = 1000, **fields: Column) -> DataFrame:
+    """The arrays of :func:`nested` in chunks of ``size`` items, numbered from 1 in order, so that a hot group fits too.
+
+    ``order`` must be total within a group. Rows are ranged by group and order and numbered within their range; a range
+    adds the items that its group has in the ranges before. Null keys are a group.
+    """
+    keys, orders = [f"__k{k}" for k in range(len(by))], [f"__o{k}" for k in range(len(order))]
+    rows = df.select(*(F.col(b).alias(k) for b, k in zip(by, keys)), *(c.alias(o) for c, o in zip(order, orders)), F.struct(*(c.alias(n) for n, c in fields.items())).alias("__v"))
+    rows = cut(rows.repartitionByRange(*keys, *orders).withColumn("__p", F.spark_partition_id()))
+    sizes = rows.groupBy(*keys, "__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.withColumn("__b", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    local = rows.withColumn("__l", F.row_number().over(Window.partitionBy(*keys, "__p").orderBy(*orders)) - 1)
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    placed = local.alias("a").join(first.alias("b"), [*same, F.col("a.__p") == F.col("b.__p")]).select("a.*", "__b")
+    chunked = placed.withColumn("chunk", (F.floor((F.col("__l") + F.col("__b")) / size) + 1).cast("long"))
+    got = F.sort_array(F.collect_list(F.struct(F.struct(*orders).alias("o"), F.col("__v").alias("v"))))
+    return chunked.groupBy(*keys, "chunk").agg(F.to_json(F.transform(got, lambda x: x["v"])).alias("items")).withColumnsRenamed(dict(zip(keys, by)))
+
+
 def repeated(df: DataFrame, by: list[str], id_col: str) -> DataFrame:
     """Groups of several rows, with their number and smallest id."""
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("least")).where("n > 1")

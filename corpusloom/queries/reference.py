@@ -277,6 +277,12 @@ def nested_facts_json(s, d):
     return report.nested(f, ["concept_id"], [F.col("importance_rank"), F.col("id")], id=F.col("id"), type=F.col("type"))
 
 
+@query()
+def nested_facts_chunks(s, d):
+    f = T(s, d, "concept_facts").select("concept_id", "id", F.coalesce("fact_type", F.lit("")).alias("type"), "importance_rank").distinct()
+    return report.nested_chunks(f, ["concept_id"], [F.col("importance_rank"), F.col("id"), F.col("type")], id=F.col("id"), type=F.col("type"))
+
+
 @query("SELECT l_orderkey, l_linenumber, count(*)::bigint n, min(l_partkey) least FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def having_duplicates_minid(s, d):
     return report.repeated(T(s, d, "lineitem"), ["l_orderkey", "l_linenumber"], "l_partkey")
