@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.plans import cut
+from corpusloom.plans import cut, lookup_join
 
 
 def key_links(records: DataFrame, keys: dict[str, Column], id_col: str = "id") -> DataFrame:
@@ -52,7 +52,7 @@ def contained(names: DataFrame, shortest: int = 3, ratio: float = 0.5, bounded:
     piece = F.transform(F.sequence(F.lit(1), F.length("name") - 2), lambda i: F.substring("name", i, F.lit(3)))
     pieces = n.select("name", F.explode(F.array_distinct(piece)).alias("g"))
     often = pieces.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    rare = pieces.join(often, "g").groupBy(F.col("name").alias("short")).agg(F.min(F.struct("n", "g"))["g"].alias("g"))
+    rare = lookup_join(pieces, often, "g", "inner").groupBy(F.col("name").alias("short")).agg(F.min(F.struct("n", "g"))["g"].alias("g"))
     pairs = rare.join(pieces.select("g", F.col("name").alias("long")), "g").where("short <> long and contains(long, short)")
     whole = F.concat(F.lit(" "), "long", F.lit(" ")).contains(F.concat(F.lit(" "), "short", F.lit(" ")))
     return pairs.where((F.length("short") >= ratio * F.length("long")) | ((F.length("short") >= bounded) & whole)).select("short", "long")

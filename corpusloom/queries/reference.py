@@ -345,6 +345,11 @@ def substring_similarity_pairs(s, d):
     return resolve.contained(T(s, d, "part").select("p_type"))
 
 
+@query()
+def name_similarity_pairs(s, d):
+    return resolve.contained(T(s, d, "concepts").select("name"))
+
+
 @query("""WITH m AS (SELECT p_partkey id, min(p_partkey) OVER (PARTITION BY lower(p_name || ' ' || p_brand || ' ' || p_size)) c FROM part) SELECT m.c l_partkey, l_suppkey, l_returnflag, min(l_orderkey) l_orderkey FROM lineitem JOIN m ON m.id = l_partkey WHERE m.c <> l_suppkey GROUP BY 1, 2, 3""")
 def edges_repoint(s, d):
     _, g = part_groups(s, d)

@@ -1,6 +1,7 @@
 """Operators over the whole of their input: hot keys, copies, circles, all names."""
 
 import json
+import random
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -24,3 +25,18 @@ def test_nested_chunks_with_a_hot_and_a_null_key(spark, tmp_path):
         got[r.concept_id] += items
     assert got == want and {(r.concept_id, r.chunk) for r in found} == {(1, 1), (1, 2), (1, 3), (2, 1), (None, 1)}
     assert report.nested_chunks(spark.range(0), ["id"], [F.col("id")], id=F.col("id")).collect() == []
+
+
+def similar(a, b):
+    return a != b and len(a) >= 3 and a in b and (2 * len(a) >= len(b) or len(a) >= 5 and f" {a} " in f" {b} ")
+
+
+def test_name_similarity_against_brute_force(spark, tmp_path):
+    rnd = random.Random(3)
+    words = ["ted", "ing", "rated", "integrated", "ridge", "bridge", "net", "kernel", "ξ²", "el", "rated ing"]
+    names = [" ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 5))) for _ in range(400)] + ["ab", "", "ed ", None]
+    spark.createDataFrame([(n,) for n in names * 2], "name string").write.parquet(str(tmp_path / "concepts.parquet"))
+    known = {n for n in names if n}
+    want = {(a, b) for a in known for b in known if similar(a, b)}
+    got = [tuple(r) for r in reference.QUERIES["name_similarity_pairs"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 500
