@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import parent_number
+from corpusloom.plans import cut
 
 #: Cue, pattern, whether the term found is the source, relation, confidence.
 CUES = (
@@ -17,7 +18,10 @@ CUES = (
     ("contrast", r"(?:in\s+contrast\s+to|unlike|compared\s+to)\s+", False, "contrasts_with", 0.7),
     ("see", r"see\s+(?:Theorem|Lemma|Section)\s+", False, "uses", 0.6),
 )
-_TOKEN = r"[^\p{L}\p{N}]+"
+#: What parts words, by the same notion of a word as the \b of :func:`mentions`.
+_TOKEN = r"(?U)\W+"
+#: Most names whose keys are broadcast.
+FEW = 200_000
 
 
 def mentions(text: Column, name: Column) -> Column:
@@ -26,18 +30,22 @@ def mentions(text: Column, name: Column) -> Column:
     return F.contains(F.lower(text), F.lower(name)) & F.call_function("rlike", text, quoted)
 
 
-def _first_token(c: Column) -> Column:
-    return F.get(F.filter(F.split(F.lower(c), _TOKEN), lambda x: x != ""), 0)
+def _tokens(c: Column) -> Column:
+    return F.filter(F.split(F.lower(c), _TOKEN), lambda x: x != "")
 
 
 def mention_pairs(texts: DataFrame, names: DataFrame, text: str = "text", name: str = "name") -> DataFrame:
-    """Every text with every name that it mentions: an equi-join on the name's first word, then the exact test.
+    """Every text with every name that it mentions: an equi-join on the name's first two words, then the exact test.
 
-    Names without a letter or digit are found by no word and left out.
+    The join runs over the numbers of the texts; each text meets its candidates by its number, so none is copied for
+    each of its words. Names without a letter or digit are found by no word and left out.
     """
-    t = texts.withColumn("__tok", F.explode(F.array_distinct(F.filter(F.split(F.lower(text), _TOKEN), lambda x: x != ""))))
-    n = names.withColumn("__tok", _first_token(F.col(name))).where("__tok is not null")
-    return t.join(n, "__tok").where(mentions(F.col(text), F.col(name))).drop("__tok")
+    rows = cut(texts.withColumn("__row", F.monotonically_increasing_id()))
+    pairs = F.filter(F.zip_with("__w", F.slice("__w", F.lit(2), F.size("__w")), lambda a, b: F.concat(a, F.lit(" "), b)), lambda x: x.isNotNull())
+    keys = rows.where(F.col(text).isNotNull()).select("__row", _tokens(F.col(text)).alias("__w")).select("__row", F.explode(F.array_distinct(F.concat("__w", pairs))).alias("__tok"))
+    n = names.withColumn("__tok", F.array_join(F.slice(_tokens(F.col(name)), 1, 2), " ")).where("__tok <> ''")
+    n = F.broadcast(n) if n.limit(FEW + 1).count() <= FEW else n
+    return rows.join(keys.join(n, "__tok").drop("__tok"), "__row").where(mentions(F.col(text), F.col(name))).drop("__row")
 
 
 def ordered_prerequisites(concepts: DataFrame, shortest: int = 4) -> DataFrame:

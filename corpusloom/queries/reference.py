@@ -310,6 +310,13 @@ def mention_pairs(s, d):
     return relate.mention_pairs(docs, names).select("doc_id", "name")
 
 
+@query()
+def concept_mentions(s, d):
+    names = T(s, d, "concepts").select("name").where("name is not null").distinct()
+    docs = T(s, d, "documents").select("doc_id", "text").where("text is not null")
+    return relate.mention_pairs(docs, names).select("doc_id", "name")
+
+
 @query()
 def relation_edges(s, d):
     c = _concept_list(s, d)

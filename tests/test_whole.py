@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -40,3 +41,18 @@ def test_name_similarity_against_brute_force(spark, tmp_path):
     want = {(a, b) for a in known for b in known if similar(a, b)}
     got = [tuple(r) for r in reference.QUERIES["name_similarity_pairs"](spark, str(tmp_path)).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 500
+
+
+def test_concept_mentions_against_brute_force(spark, tmp_path):
+    rnd = random.Random(4)
+    words = ["one", "sided", "one-sided", "kernel", "ξ", "r²", "Lasso", "lasso (l1)", "x_y", "(l1)", "c++", "first order"]
+    names = {"".join(rnd.choice(words) + rnd.choice([" ", "-", " "]) for _ in range(rnd.randrange(1, 4))).strip(" -") for _ in range(250)} | {"r", "y", "++", " one"}
+    docs = [(k, None if k == 7 else "".join(rnd.choice(words + ["the", "Kernels"]) + rnd.choice([" ", "\n", "-", ", ", "_"]) for _ in range(rnd.randrange(40)))) for k in range(150)]
+    spark.createDataFrame([(n,) for n in [*names, *names, None]], "name string").write.parquet(str(tmp_path / "concepts.parquet"))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    # Spark has no superscripts among the characters of words
+    has = lambda t, n: re.search(rf"(?i)\b{re.escape(n)}\b".replace("²", "\x01"), t.replace("²", "\x01"))
+    want = {(k, n) for k, t in docs if t for n in names if has(t, n) and any(c.isalpha() for c in n)}
+    got = [tuple(r) for r in reference.QUERIES["concept_mentions"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
+    assert (any(n == "r" for _, n in want)) and len({n for _, n in want}) > 40
