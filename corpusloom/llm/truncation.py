@@ -8,11 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.lookalike import _LATIN, _plain_form, script
-from corpusloom.plans import cut, lookup_join
+from corpusloom.plans import cut, lookup_join, spread
 
 #: Lengths of the final contexts, in characters, longest first.
 ORDERS = (24, 16, 11, 7, 4)
@@ -101,19 +102,24 @@ def _hashes(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _final_contexts(rows: DataFrame) -> DataFrame:
-    """(source_table, row_id, source, mark, language, own, h0..h4) of each text."""
+    """(table_name, row_id, source, mark, language, body, plain, own, h0..h4) of each text; body is a hash of its plain
+    form without the marks at its end, on which the contexts depend alone."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = b["text"].tolist()
-            codes, ends, kind = _layout([plain(t) for t in texts])
+            forms = [plain(t) for t in texts]
+            bodies = [end_of(t) for t in forms]
+            codes, ends, kind = _layout([t[max(0, len(e) - ORDERS[0]) :] for t, e in zip(forms, bodies)])  # only the last characters tell
             out = b[["table_name", "row_id", "source"]].copy()
-            out["mark"], out["language"], out["own"] = [mark_of(t) for t in texts], [language_of(t) for t in texts], kind[ends].astype(np.int32)
+            out["mark"], out["language"] = [mark_of(t) for t in texts], [language_of(t) for t in texts]
+            out["body"] = np.fromiter(map(xxhash.xxh64_intdigest, bodies), np.uint64, len(forms)).view(np.int64)
+            out["plain"], out["own"] = forms, kind[ends].astype(np.int32)
             for k, h in _hashes(codes):
                 out[f"h{k}"] = h[ends].view(np.int64)
-            yield out[["table_name", "row_id", "source", "mark", "language", "own", *(f"h{k}" for k in range(len(ORDERS)))]]
+            yield out[["table_name", "row_id", "source", "mark", "language", "body", "plain", "own", *(f"h{k}" for k in range(len(ORDERS)))]]
 
-    return rows.mapInPandas(run, "table_name string, row_id long, source string, mark string, language string, own int, " + ", ".join(f"h{k} long" for k in range(len(ORDERS))))
+    return rows.mapInPandas(run, "table_name string, row_id long, source string, mark string, language string, body long, plain string, own int, " + ", ".join(f"h{k} long" for k in range(len(ORDERS))))
 
 
 def _filter(contexts: DataFrame) -> np.ndarray:
@@ -126,9 +132,9 @@ def _filter(contexts: DataFrame) -> np.ndarray:
     return bits.view(np.uint64)
 
 
-def _counts(rows: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(h, ended, went_on, stopped) of the contexts in the filter, over every position of every text."""
-    sent = rows.sparkSession.sparkContext.broadcast(bits)
+def _counts(texts: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(h, ended, went_on, stopped) of the contexts in the filter, over every position of every text in its plain form."""
+    sent = texts.sparkSession.sparkContext.broadcast(bits)
 
     def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         found, where = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
@@ -139,7 +145,7 @@ def _counts(rows: DataFrame, bits: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         for b in batches:
-            codes, _, kind = _layout([plain(t) for t in b["text"]])
+            codes, _, kind = _layout(b["plain"].tolist())
             for _, h in _hashes(codes):
                 word = sent.value[(h & np.uint64(FILTER_BITS - 1)) >> np.uint64(6)]
                 pick = np.flatnonzero(((word >> (h & np.uint64(63))) & np.uint64(1)).astype(bool) & (kind < 3))
@@ -152,7 +158,7 @@ def _counts(rows: DataFrame, bits: np.ndarray) -> DataFrame:
         if parts:
             yield _frame(*merged(parts))
 
-    out = rows.select("text").mapInPandas(run, "h long, ended long, went_on long, stopped long")
+    out = texts.select("plain").mapInPandas(run, "h long, ended long, went_on long, stopped long")
     return out.groupBy("h").agg(*(F.sum(c).alias(c) for c in ("ended", "went_on", "stopped")))
 
 
@@ -161,19 +167,22 @@ def _frame(h: np.ndarray, table: np.ndarray) -> pd.DataFrame:
 
 
 def scored(rows: DataFrame) -> DataFrame:
-    """(table_name, row_id, source, mark, language, odds): how much likelier each text goes on than ends where it does.
+    """(table_name, row_id, source, mark, language, body, odds): how much likelier each text goes on than ends where it does.
 
     ``rows`` has table_name, row_id, source and text. A backward n-gram model of characters: for the final context of
     a text (marks at its end left out), how often it stands before a full stop, before more text and at a bare end
-    anywhere in the corpus, the text's own end left out. The estimates run from the shortest context to the longest,
+    anywhere in the corpus, the text's own end left out. Texts that differ at most by the marks at their ends count
+    once, however many rows they stand in, so that copies of a cut text don't vouch for its end. The estimates run from the shortest context to the longest,
     each a weight of ``BACKOFF`` occurrences in the next. Two passes: the contexts asked for become a bit filter of
     fixed size, then all positions of all texts are counted that pass it. Null and blank texts are left out.
     """
     rows = rows.where(F.col("text").rlike("[\\p{L}\\p{N}]"))
     finals = cut(_final_contexts(rows))
     names = [f"h{k}" for k in range(len(ORDERS))]
-    contexts = finals.select(*names).distinct()
-    counts = _counts(rows, _filter(finals))
+    one = F.min(F.struct("plain", "own", *names)).alias("t")
+    texts = cut(finals.groupBy("body").agg(one).select("body", "t.*"))
+    contexts = texts.select(*names).distinct()
+    counts = _counts(spread(texts.select("plain")), _filter(texts))
     long = contexts.select("h0", F.posexplode(F.array(*names)).alias("k", "h")).join(counts, "h", "left")
     per = long.groupBy("h0").agg(*(F.max(F.when(F.col("k") == k, F.struct(*(F.coalesce(c, F.lit(0)).alias(c) for c in ("ended", "went_on", "stopped"))))).alias(f"c{k}") for k in range(len(ORDERS))))
     for own, name in ((0, "odds_ended"), (2, "odds_stopped")):
@@ -185,19 +194,20 @@ def scored(rows: DataFrame) -> DataFrame:
             p = (ends + BACKOFF * p) / (ends + c["went_on"] + BACKOFF)
         per = per.withColumn(name, F.log((1 - p) / p))
     table = cut(per.select("h0", "odds_ended", "odds_stopped"))
-    found = lookup_join(finals.drop(*names[1:]), table, "h0", "inner")
-    return found.select("table_name", "row_id", "source", "mark", "language", F.when(F.col("own") == 0, F.col("odds_ended")).otherwise(F.col("odds_stopped")).alias("odds"))
+    odds = F.when(F.col("own") == 0, F.col("odds_ended")).otherwise(F.col("odds_stopped")).alias("odds")
+    found = cut(lookup_join(texts.select("body", "own", "h0"), table, "h0", "inner").select("body", odds))
+    return lookup_join(finals.select("table_name", "row_id", "source", "mark", "language", "body"), found, "body", "inner")
 
 
 def truncated(rows: DataFrame) -> DataFrame:
     """The rows of :func:`scored` with a column cut, by thresholds per table, language, source and end mark.
 
     In a group of table, language and source, a text without a full stop is the less remarkable the more of them there
-    are: the threshold rises with their log-odds. Repeated rows stay repeated.
+    are: the threshold rises with their log-odds, in which copies count once. Repeated rows stay repeated.
     """
     s = cut(scored(rows))
     group = ["table_name", "language", "source"]
-    share = s.groupBy(*group).agg(F.sum((F.col("mark") == "none").cast("int")).alias("bare"), F.count(F.lit(1)).alias("n"))
+    share = s.select(*group, "body", "mark").distinct().groupBy(*group).agg(F.sum((F.col("mark") == "none").cast("int")).alias("bare"), F.count(F.lit(1)).alias("n"))
     lift = F.greatest(F.lit(0.0), F.log((F.col("bare") + 0.5) / (F.col("n") - F.col("bare") + 0.5)))
     bare = F.least(F.lit(TOP), THRESHOLDS["none"] + lift)
     few = share.select(*group, bare.alias("bare"))
@@ -206,4 +216,4 @@ def truncated(rows: DataFrame) -> DataFrame:
     few = F.broadcast(few) if few.limit(100_001).count() <= 100_000 else few
     s = s.alias("a").join(few.alias("b"), on, "left").select("a.*", "bare")
     bound = F.when(F.col("mark") == "stop", THRESHOLDS["stop"]).when(F.col("mark") == "mark", THRESHOLDS["mark"]).otherwise(F.col("bare"))
-    return s.withColumn("cut", F.col("odds") > bound).drop("bare")
+    return s.withColumn("cut", F.col("odds") > bound).drop("bare", "body")

@@ -7,6 +7,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
+from corpusloom.llm import truncation
 from corpusloom.operators import report
 from corpusloom.queries import reference
 
@@ -56,3 +57,22 @@ def test_concept_mentions_against_brute_force(spark, tmp_path):
     got = [tuple(r) for r in reference.QUERIES["concept_mentions"](spark, str(tmp_path)).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
     assert (any(n == "r" for _, n in want)) and len({n for _, n in want}) > 40
+
+
+def test_copies_do_not_vouch_for_a_cut_end(spark):
+    rnd = random.Random(6)
+    heads = ["the smoother", "a kernel", "this estimator", "one sample", "every loss"]
+    tails = ["vanishes in the limit of large samples", "is reported with its uncertainty", "shrinks over the whole range", "needs no further adjustment at all"]
+    whole = [f"{rnd.choice(heads)} number {k} {rnd.choice(tails)}." for k in range(1500)]
+    cut = [f"{heads[k % 5]} {'abcdefghij'[k]} {tails[k % 4][: 12 + k]}" for k in range(8)]
+    copied = [("t", 2000 + 1000 * k + n, "src", t) for k, t in enumerate(cut) for n in range((1, 2, 3, 40, 700, 2, 3, 1)[k])]
+    stopped = [("t", 20000 + k, "src", t + "...") for k, t in enumerate(cut)]
+
+    def verdict(rows):
+        return {r.row_id: r.cut for r in truncation.truncated(spark.createDataFrame(rows, "table_name string, row_id long, source string, text string")).collect()}
+
+    sound = [("t", k, "src", t) for k, t in enumerate(whole)]
+    got = verdict([*sound, *sound[:300], *copied, *stopped])
+    assert all(got[r[1]] for r in copied + stopped) and not any(got[r[1]] for r in sound)
+    once = verdict([*sound, *(r for r in copied if r[1] % 1000 == 0)])
+    assert all(once[k] == got[k] for k in once)
