@@ -11,10 +11,10 @@ import numpy as np
 import pandas as pd
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.plans import cut, lookup_join
+from corpusloom.plans import cut, lookup_join, spread
 
 #: Bits of the filters that are sent to all tasks, whatever the size of the corpus.
 FILTER_BITS = 1 << 25
@@ -196,15 +196,20 @@ def _words(lines: list[str], labels: str) -> tuple[list[tuple[int, list[str]]],
     return words, broken
 
 
+def _book(book: Column) -> Column:
+    return F.coalesce(book.cast("string"), F.lit("-"))
+
+
 def _gather(rows: DataFrame) -> DataFrame:
-    """(kind, key, n, m): counts of words (n whole, m put together), header keys and page offsets, over all rows."""
+    """(kind, key, n, m): counts of words (n whole, m put together) over distinct texts, of header keys by book over the
+    distinct pages of each, and of page offsets over all pages. Header keys and offsets have their book before a tab."""
     empty = np.zeros(FILTER_BITS >> 3, np.uint8)
 
     def frame(kind: str, counts: dict) -> pd.DataFrame:
         return pd.DataFrame({"kind": np.full(len(counts), kind, object), "key": np.array(list(counts), object), "n": [x[0] if isinstance(x, list) else x for x in counts.values()], "m": [x[1] if isinstance(x, list) else 0 for x in counts.values()]}).astype({"n": "int64", "m": "int64"})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, joined, keys, offsets = Counter(), Counter(), Counter(), Counter()
+        tokens, joined = Counter(), Counter()
 
         def flush() -> Iterator[pd.DataFrame]:
             counts: dict[str, list[int]] = {}
@@ -215,30 +220,46 @@ def _gather(rows: DataFrame) -> DataFrame:
             for w, n in joined.items():
                 counts.setdefault(w, [0, 0])[1] += n
             yield frame("w", counts)
-            yield frame("h", keys)
-            yield frame("o", offsets)
-            for c in (tokens, joined, keys, offsets):
+            for c in (tokens, joined):
                 c.clear()
 
         for b in batches:
-            for table, book, page, text in zip(b["table_name"], b["book"], b["page"], b["text"]):
+            for whole_page, text in zip(b["whole_page"], b["text"]):
                 lines = text.split("\n")
-                labels, bare = label_lines(lines, empty, table == "pages") if len(lines) > 1 else ("b", {})
-                if table == "pages" and len(lines) > 1:
-                    for k in {0, 1 if page_number(lines[0]) else 0}:
-                        keys.update(header_keys(lines[k]))
-                    n = page_number(lines[-1]) or page_number(lines[0])
-                    if n and not n[2] and page == page and page is not None and book == book:
-                        offsets[f"{int(book)}\t{int(page) - n[1]}"] += 1
+                labels = label_lines(lines, empty, whole_page)[0] if len(lines) > 1 else "b"
                 words, broken = _words(lines, labels)
                 for _, t in words:
                     tokens.update(t)
                 joined.update(a + z for _, a, z in broken)
-            if len(tokens) + len(joined) + len(keys) > GATHERED:
+            if len(tokens) + len(joined) > GATHERED:
                 yield from flush()
         yield from flush()
 
-    found = rows.mapInPandas(run, "kind string, key string, n long, m long")
+    def headed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keys = Counter()
+            for book, first, second in zip(b["book"], b["first"], b["second"]):
+                for line in {first, second if page_number(first) else first}:
+                    keys.update(f"{book}\t{key}" for key in header_keys(line))
+            yield frame("h", keys)
+
+    def offset(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            offsets = Counter()
+            for book, page, first, last in zip(b["book"], b["page"], b["first"], b["last"]):
+                n = page_number(last) or page_number(first)
+                if n and not n[2]:
+                    offsets[f"{book}\t{int(page) - n[1]}"] += 1
+            yield frame("o", offsets)
+
+    out = "kind string, key string, n long, m long"
+    texts = rows.groupBy("text").agg(F.max(F.col("table_name") == "pages").alias("whole_page"))
+    lines = F.split("text", "\n")
+    pages = rows.where("table_name = 'pages'").select(_book(F.col("book")).alias("book"), "page", F.xxhash64("text").alias("same"), lines.alias("l")).where("size(l) > 1")
+    pages = pages.select("book", "page", "same", F.col("l")[0].alias("first"), F.col("l")[1].alias("second"), F.element_at("l", -1).alias("last"))
+    found = spread(texts).mapInPandas(run, out)
+    found = found.unionByName(pages.select("book", "same", "first", "second").distinct().mapInPandas(headed, out))
+    found = found.unionByName(pages.where("book <> '-' and page is not null").mapInPandas(offset, out))
     return found.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
@@ -290,39 +311,54 @@ def _bits(*keys: DataFrame) -> np.ndarray:
 
 
 def _cases(rows: DataFrame, bits: np.ndarray) -> DataFrame:
-    """Everything in each row that may be a case: (table_name, row_id, page_id, line_no, kind, a, b, value)."""
+    """Everything in each row that may be a case: (table_name, row_id, page_id, line_no, kind, a, b, value).
+
+    A header that is one only by its keys has them in a; what its line holds if it is none has the value -1.
+    """
+    none = np.zeros(FILTER_BITS >> 3, np.uint8)
     sent = rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits, sound = sent.value, set()
+
+        def misread(line_words: list[str]) -> Iterator[str]:
+            for t in line_words:
+                if t in sound:
+                    continue
+                hit = next((w for w in _variants(t) if w and _in(bits, hash_of("m " + w))), "")
+                if hit:
+                    yield hit
+                else:
+                    if len(sound) > GATHERED:
+                        sound.clear()
+                    sound.add(t)
+
         for batch in batches:
             out = []
             for table, row, page, text in zip(batch["table_name"], batch["row_id"], batch["page_id"], batch["text"]):
                 lines = text.split("\n")
                 labels, bare = label_lines(lines, bits, table == "pages")
+                hits = {k: hit for k, x in enumerate(labels) if x == "h" and (hit := [key for key in header_keys(lines[k]) if _in(bits, hash_of("h " + key))])}
                 if len(lines) == 1 and table != "pages":
                     labels = "b" if labels == "h" and not _NUMBERED.match(lines[0]) and not _CHAPTER.match(lines[0]) else labels
                 at = (table, row, page)
+                alone = label_lines(lines, none, table == "pages")[0] if hits else labels
+                hits = {k: hit for k, hit in hits.items() if labels[k] == "h" != alone[k]}
                 for k, x in enumerate(labels):
                     if x == "h":
-                        out.append((*at, k + 1, "header", "", "", None))
+                        out.append((*at, k + 1, "header", "\n".join(hits.get(k, ())), "", None))
                     elif x == "n" and k not in bare:
                         out.append((*at, k + 1, "page_number", "", "", None))
                     elif k in bare:
                         out.append((*at, k + 1, "number", "r" if bare[k][1] else "", "", bare[k][0]))
                 words, broken = _words(lines, labels)
                 for k, line_words in words:
-                    for t in line_words:
-                        if t in sound:
-                            continue
-                        hit = next((w for w in _variants(t) if w and _in(bits, hash_of("m " + w))), "")
-                        if hit:
-                            out.append((*at, k + 1, "misread", hit, "", None))
-                        else:
-                            if len(sound) > GATHERED:
-                                sound.clear()
-                            sound.add(t)
+                    out.extend((*at, k + 1, "misread", hit, "", None) for hit in misread(line_words))
                 out.extend((*at, k + 1, "hyphen", a, z, None) for k, a, z in broken)
+                if hits:
+                    words, broken = _words(lines, alone)
+                    out.extend((*at, k + 1, "misread", hit, "", -1) for k, line_words in words if k in hits for hit in misread(line_words))
+                    out.extend((*at, k + 1, "hyphen", a, z, -1) for k, a, z in broken if k in hits)
             frame = pd.DataFrame(out, columns=["table_name", "row_id", "page_id", "line_no", "kind", "a", "b", "value"])
             frame["value"] = frame["value"].astype("Int64")
             yield frame
@@ -334,7 +370,7 @@ def damage(pages: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """(table_name, row_id, line_no, kind, word): every damaged place in pages.raw_text and paragraphs.text.
 
     Lines are labelled header, page number or body by Viterbi over layout features: form, case, place, and whether the
-    line (or it without one of its words) heads several pages. A bare number is a page number if it is the page's own,
+    line (or it without one of its words) heads several pages of its book. Copies of a text count once. A bare number is a page number if it is the page's own,
     by the offset that most pages of its book show. Words are compared with the words of the whole corpus: a broken word
     is put together, with its hyphen if it is commoner so; a word is misread if undoing a confusion gives a far commoner
     one. Only filters of fixed size are broadcast; the candidates they let through are settled by joins. Null and empty
@@ -347,9 +383,22 @@ def damage(pages: DataFrame, paragraphs: DataFrame) -> DataFrame:
     seen = cut(_gather(rows))
     words = seen.where("kind = 'w'")
     fixes = cut(_corrections(words))
-    headers = seen.where((F.col("kind") == "h") & (F.col("n") >= REPEATED)).select(F.concat(F.lit("h "), "key").alias("key"))
+    by_key = seen.where((F.col("kind") == "h") & (F.col("n") >= REPEATED)).select(F.col("key").alias("in_book"), F.substring_index("key", "\t", -1).alias("key"))
+    headers = by_key.select(F.concat(F.lit("h "), "key").alias("key"))
     cases = cut(_cases(rows, _bits(headers, fixes.select(F.concat(F.lit("m "), "word").alias("key")))).distinct())
-    plain = cases.where("kind in ('header', 'page_number')").select("table_name", "row_id", "line_no", "kind", F.lit("").alias("word"))
+    # a header by its keys: they must head pages of its own book, or of any if its book is not known
+    line = ["table_name", "row_id", "line_no"]
+    doubtful = cases.where("kind = 'header' and a <> ''")
+    books = p.where("id is not null").groupBy(F.col("id").alias("page_id")).agg(F.min(_book(F.col("book"))).alias("of"))
+    keyed = lookup_join(doubtful.select(*line, "page_id", F.explode(F.split("a", "\n")).alias("key")), books, "page_id")
+    exact = by_key.select("in_book").unionByName(by_key.select(F.concat(F.lit("*\t"), "key").alias("in_book"))).distinct()
+    keyed = cut(keyed.select(*line, F.concat(F.coalesce("of", F.lit("*")), F.lit("\t"), "key").alias("in_book")))
+    sure = cut(lookup_join(keyed, exact, "in_book", "inner").select(*line).distinct())
+    no_header = doubtful.select(*line).distinct().join(sure, line, "left_anti")
+    inside = cases.where("kind in ('misread', 'hyphen')")
+    inside = cut(inside.where("value is null").unionByName(inside.where("value = -1").join(no_header, line, "left_semi").select(*inside.columns)))
+    plain = cases.where("kind = 'page_number' or kind = 'header' and a = ''").select(*line, "kind", F.lit("").alias("word"))
+    plain = plain.unionByName(sure.select(*line, F.lit("header").alias("kind"), F.lit("").alias("word")))
 
     votes = seen.where("kind = 'o'").select(F.split("key", "\t")[0].cast("long").alias("book"), F.split("key", "\t")[1].cast("int").alias("offset"), "n")
     usual = votes.groupBy("offset").agg(F.sum("n").alias("n")).agg(F.max_by("offset", F.struct("n", "offset")).alias("usual"))
@@ -360,10 +409,10 @@ def damage(pages: DataFrame, paragraphs: DataFrame) -> DataFrame:
     own = F.when(F.col("a") == "r", (F.col("value") == F.col("page")) & (F.col("page") <= F.col("offset"))).otherwise(F.col("value") == F.col("page") - F.col("offset"))
     bare = numbers.join(where, "page_id").where(own).select("table_name", "row_id", "line_no", F.lit("page_number").alias("kind"), F.lit("").alias("word"))
 
-    spotted = cases.where("kind = 'misread'").select("table_name", "row_id", "line_no", F.col("a").alias("word"))
+    spotted = inside.where("kind = 'misread'").select("table_name", "row_id", "line_no", F.col("a").alias("word"))
     misread = lookup_join(spotted, fixes, "word", "inner").select("table_name", "row_id", "line_no", F.lit("misread").alias("kind"), F.col("intended").alias("word"))
 
-    split = cases.where("kind = 'hyphen'")
+    split = inside.where("kind = 'hyphen'")
     pairs = split.select("a", "b").distinct()
     forms = pairs.select("a", "b", F.explode(F.array(F.struct(F.concat("a", "b").alias("word"), F.lit(1).alias("closed")), F.struct(F.concat_ws("-", "a", "b").alias("word"), F.lit(0).alias("closed")))).alias("f")).select("a", "b", "f.*")
     counted = forms.join(words.select(F.col("key").alias("word"), "n"), "word", "left").join(fixes, "word", "left")
