@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.plans import cut, hot_keys, lookup_join
 from corpusloom.plans.skew import coin
 
-_OUT = ["id", "root_id", "depth", "path", "status"]
+_OUT = ["id", "root_id", "depth", "path", "status", "line"]
 
 
 def clean_number(number: Column) -> Column:
@@ -34,7 +34,7 @@ def number_parents(sections: DataFrame) -> DataFrame:
 
 
 def hierarchy(links: DataFrame, id_col: str = "id", parent_col: str = "parent") -> DataFrame:
-    """(id, root_id, depth, path, status) of each node of ``links``.
+    """(id, root_id, depth, path, status, line) of each node of ``links``.
 
     Rounds of tree contraction: leaves are raked off, nodes with one remaining child are spliced out of their
     chain (an independent set of them, by coins), until nothing with a parent is left. A splice that leaves a node
@@ -42,7 +42,7 @@ def hierarchy(links: DataFrame, id_col: str = "id", parent_col: str = "parent")
     what its anchor by then has. The number of rounds is logarithmic in the size, whatever the depth.
 
     status is tree, cycle (on a circle; root_id its smallest id, depth -1, path 'cycle') or below (leads up into
-    a circle; path 'below'). A node whose parent is null or no node is a root. Rows with a null id are left out,
+    a circle; path 'below'; line has the ids from the circle down to it). A node whose parent is null or no node is a root. Rows with a null id are left out,
     an id that stands twice counts once (the smallest non-null parent), an empty table gives an empty result.
     """
     nodes = links.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent")).where("id is not null")
@@ -51,7 +51,7 @@ def hierarchy(links: DataFrame, id_col: str = "id", parent_col: str = "parent")
     nodes = cut(nodes.join(known, "parent", "left").withColumn("parent", F.when(F.col("known"), F.col("parent"))).drop("known"))
     hot = cut(hot_keys(nodes, "parent").select(F.col("parent").alias("anchor")))
     text = F.col("id").cast("string")
-    done = nodes.where("parent is null").select("id", F.col("id").alias("root_id"), F.lit(0).alias("depth"), text.alias("path"), F.lit("tree").alias("status"))
+    done = nodes.where("parent is null").select("id", F.col("id").alias("root_id"), F.lit(0).alias("depth"), text.alias("path"), F.lit("tree").alias("status"), F.lit(None).cast("string").alias("line"))
     active = nodes.where("parent is not null").select("id", "parent", text.alias("seg"), F.lit(1).alias("len"), F.col("id").alias("least"))
 
     records: list[DataFrame] = []
@@ -63,7 +63,7 @@ def hierarchy(links: DataFrame, id_col: str = "id", parent_col: str = "parent")
             break
         if "core" in fates:
             rings = True
-            done = done.unionByName(state.where("fate = 'core'").select("id", F.col("least").alias("root_id"), F.lit(-1).alias("depth"), F.lit("cycle").alias("path"), F.lit("cycle").alias("status")))
+            done = done.unionByName(state.where("fate = 'core'").select("id", F.col("least").alias("root_id"), F.lit(-1).alias("depth"), F.lit("cycle").alias("path"), F.lit("cycle").alias("status"), text.alias("line")))
         records.append(state.where("fate in ('leaf', 'splice')"))
         active = state.where("fate = 'live'").select("id", "parent", "seg", "len", "least")
     parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -104,7 +104,7 @@ def _contract(active: DataFrame, round_no: int) -> DataFrame:
 
 def _undo(record: DataFrame, done: DataFrame, hot: DataFrame, rings: bool) -> DataFrame:
     """The nodes contracted in one round, resolved through their anchors, all of which are in ``done``."""
-    anchors = done.select(F.col("id").alias("anchor"), "root_id", F.col("depth").alias("up_depth"), F.col("path").alias("up_path"), F.col("status").alias("up_status"))
+    anchors = done.select(F.col("id").alias("anchor"), "root_id", F.col("depth").alias("up_depth"), F.col("path").alias("up_path"), F.col("status").alias("up_status"), F.col("line").alias("up_line"))
     if rings:  # what was spliced out above a node on a circle lies on the circle
         on_ring = done.where("status = 'cycle'").select(F.col("id").alias("via"), F.lit(True).alias("ring"))
         spliced = record.where("via is not null").join(on_ring, "via", "left")
@@ -119,6 +119,7 @@ def _undo(record: DataFrame, done: DataFrame, hot: DataFrame, rings: bool) -> Da
         F.when(status == "tree", F.col("up_depth") + F.col("len")).otherwise(-1).alias("depth"),
         F.when(status == "tree", F.concat_ws("/", "up_path", "seg")).otherwise(status).alias("path"),
         status.alias("status"),
+        F.when(status == "cycle", F.col("id").cast("string")).when(status == "below", F.concat_ws("/", "up_line", "seg")).alias("line"),
     )
 
 
@@ -132,6 +133,19 @@ def descendants(tree: DataFrame) -> DataFrame:
     return up.select(F.col("id").cast("long").alias("id"), "descendant", (F.col("depth") - F.col("pos")).alias("distance"))
 
 
+def all_descendants(tree: DataFrame) -> DataFrame:
+    """(id, descendant): every other node that leads up to each node of a result of :func:`hierarchy`, circles included.
+
+    A node on a circle has all others of its circle and all nodes below it; a node below a circle has its subtree.
+    """
+    line = F.split("line", "/")
+    under = tree.where("status = 'below' and size(split(line, '/')) > 2").select(F.explode(F.slice(line, F.lit(2), F.size(line) - 2).cast("array<bigint>")).alias("id"), F.col("id").alias("descendant"))
+    ring = tree.where("status = 'cycle'").select("id", "root_id")
+    led = tree.where("status <> 'tree'").select(F.col("id").alias("descendant"), "root_id")
+    around = ring.join(led, "root_id").where("id <> descendant").select("id", "descendant")
+    return descendants(tree).select("id", "descendant").unionByName(under).unionByName(around)
+
+
 def subtree_sizes(tree: DataFrame) -> DataFrame:
     """(id, descendants): how many nodes lie under each node."""
     counts = descendants(tree).groupBy("id").agg(F.count(F.lit(1)).alias("n"))

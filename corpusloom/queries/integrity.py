@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators.hierarchy import hierarchy, number_parents, subtree_sizes
+from corpusloom.operators.hierarchy import all_descendants, hierarchy, number_parents, subtree_sizes
 from corpusloom.operators.references import broken_references, month
 
 
@@ -25,6 +25,16 @@ def p2_descendants(spark: SparkSession, sf: str) -> DataFrame:
     return subtree_sizes(section_tree(spark, sf)).select(F.col("id").alias("section_id"), "descendants")
 
 
+def p2_descendant_list(spark: SparkSession, sf: str) -> DataFrame:
+    return all_descendants(section_tree(spark, sf)).select(F.col("id").alias("section_id"), "descendant")
+
+
+def p2_descendant_counts(spark: SparkSession, sf: str) -> DataFrame:
+    tree = section_tree(spark, sf)
+    counts = all_descendants(tree).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return tree.select("id").join(counts, "id", "left").select(F.col("id").alias("section_id"), F.coalesce("n", F.lit(0)).alias("descendants"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     concepts, paragraphs = _read(spark, sf, "concepts"), _read(spark, sf, "paragraphs")
     parts = []
@@ -55,7 +65,7 @@ ring AS (SELECT id FROM r WHERE id = cur),
 c AS (SELECT r.id, min(r.cur) root_id, r.id IN (SELECT id FROM ring) on_it FROM r WHERE r.cur IN (SELECT id FROM ring) GROUP BY r.id)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_descendants": p2_descendants, "p6_found": p6_found, "p6_report": p6_report}
+QUERIES = {"p2_found": p2_found, "p2_descendants": p2_descendants, "p2_descendant_list": p2_descendant_list, "p2_descendant_counts": p2_descendant_counts, "p6_found": p6_found, "p6_report": p6_report}
 
 _P6 = """WITH cp AS (SELECT id, bool_or(deleted_at IS NOT NULL) del, min(recorded_at) rec FROM concepts GROUP BY id),
 pp AS (SELECT id, bool_or(deleted_at IS NOT NULL) del, min(recorded_at) rec FROM paragraphs GROUP BY id),

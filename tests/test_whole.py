@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import scanned, truncation
 from corpusloom.operators import report
+from corpusloom.operators.hierarchy import all_descendants, hierarchy
 from corpusloom.queries import reference
 
 
@@ -102,3 +103,18 @@ def test_headers_by_book_and_distinct_page(spark):
     parts = [(1, 0, f"{body}\nNotes on Many Kernels\n{body}"), (2, 30, f"{body}\nNotes on Many Kernels\n{body}"), (3, 999, f"{body}\nNotes on Many Kernels\n{body}")]
     found = {(r[0], r[1]) for r in damage(spark, pages, parts) if r[3] == "header"}
     assert {r for r in found if r[0] == "paragraphs"} == {("paragraphs", 1), ("paragraphs", 3)}
+
+
+def test_descendants_of_circles_and_below(spark):
+    rnd = random.Random(9)
+    links = [(k, rnd.choice([None, rnd.randrange(60), max(0, k - rnd.randrange(1, 4))])) for k in range(60)]
+    links += [(200, 203), (201, 200), (202, 201), (203, 202), (204, 202), (205, 204), (206, 205), (207, 205), (300, 300), (301, 300), (302, 301)]
+    parent, want = dict(links), set()
+    for k in parent:
+        up, seen = parent[k], set()
+        while up in parent and up not in seen:
+            seen.add(up)
+            up = parent[up]
+        want |= {(a, k) for a in seen - {k}}
+    rows = [tuple(r) for r in all_descendants(hierarchy(spark.createDataFrame(links, "id long, parent long"))).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want and {(204, 206), (201, 207), (203, 202), (301, 302)} <= want
