@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.plans import lookup_join
+from corpusloom.plans import cut, lookup_join
 
 #: Words of 64 bits in a row of the filter.
 _ROW = 1024
@@ -61,7 +61,7 @@ def broken_references(refs: DataFrame, parents: DataFrame, key: str, at: str, pa
     )
     expected = parents.select(parent_key).count()
     filter_rows, words = bloom_filter(parents, parent_key, expected, max_bytes=max_bytes)
-    rows = maybe_present(refs.where(F.col(key).isNotNull()), key, filter_rows, words)
+    rows = cut(maybe_present(refs.where(F.col(key).isNotNull()), key, filter_rows, words))  # read for hot keys, both kinds of join, and orphans
     orphans = rows.where(~F.col("__maybe")).drop("__maybe").withColumn("kind", F.lit("missing"))
     checked = lookup_join(rows.where("__maybe").drop("__maybe"), known, key)
     kind = F.when(F.col("__deleted").isNull(), "missing").when(F.col("__deleted"), "deleted").when(F.col("__recorded") > F.col(at), "late")

@@ -29,20 +29,15 @@ def p2_descendant_list(spark: SparkSession, sf: str) -> DataFrame:
     return all_descendants(section_tree(spark, sf)).select(F.col("id").alias("section_id"), "descendant")
 
 
-def p2_descendant_counts(spark: SparkSession, sf: str) -> DataFrame:
-    tree = section_tree(spark, sf)
-    counts = all_descendants(tree).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    return tree.select("id").join(counts, "id", "left").select(F.col("id").alias("section_id"), F.coalesce("n", F.lit(0)).alias("descendants"))
-
-
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    concepts, paragraphs = _read(spark, sf, "concepts"), _read(spark, sf, "paragraphs")
     parts = []
-    for table, field, parents in (("concept_relationships", "source_id", concepts), ("concept_relationships", "target_id", concepts), ("concept_facts", "paragraph_id", paragraphs)):
-        refs = _read(spark, sf, table).select("id", field, "recorded_at").distinct()
-        found = broken_references(refs, parents.select("id", "deleted_at", "recorded_at"), field, "recorded_at")
-        parts.append(found.select(F.lit(table).alias("table_name"), F.lit(field).alias("field"), F.col("id").alias("row_id"), month("recorded_at").alias("period"), "kind"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    for table, fields, parents in (("concept_relationships", ["source_id", "target_id"], "concepts"), ("concept_facts", ["paragraph_id"], "paragraphs")):
+        rows = _read(spark, sf, table).select("id", *fields, "recorded_at").distinct()
+        each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("ref")) for f in fields)))
+        refs = rows.select("id", "recorded_at", each.alias("r")).select("id", "recorded_at", "r.field", "r.ref").distinct()
+        found = broken_references(refs, _read(spark, sf, parents).select("id", "deleted_at", "recorded_at"), "ref", "recorded_at")
+        parts.append(found.select(F.lit(table).alias("table_name"), "field", F.col("id").alias("row_id"), month("recorded_at").alias("period"), "kind"))
+    return parts[0].unionByName(parts[1])
 
 
 def p6_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,7 +60,10 @@ ring AS (SELECT id FROM r WHERE id = cur),
 c AS (SELECT r.id, min(r.cur) root_id, r.id IN (SELECT id FROM ring) on_it FROM r WHERE r.cur IN (SELECT id FROM ring) GROUP BY r.id)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_descendants": p2_descendants, "p2_descendant_list": p2_descendant_list, "p2_descendant_counts": p2_descendant_counts, "p6_found": p6_found, "p6_report": p6_report}
+_UNDER = """, x AS (SELECT unnest(string_split(path, '/'))::bigint id, id descendant FROM t),
+under AS (SELECT id, descendant FROM x WHERE id <> descendant UNION ALL SELECT DISTINCT cur, id FROM r WHERE id <> cur)"""
+
+QUERIES = {"p2_found": p2_found, "p2_descendants": p2_descendants, "p2_descendant_list": p2_descendant_list, "p6_found": p6_found, "p6_report": p6_report}
 
 _P6 = """WITH cp AS (SELECT id, bool_or(deleted_at IS NOT NULL) del, min(recorded_at) rec FROM concepts GROUP BY id),
 pp AS (SELECT id, bool_or(deleted_at IS NOT NULL) del, min(recorded_at) rec FROM paragraphs GROUP BY id),
@@ -79,7 +77,8 @@ f AS (SELECT table_name, field, row_id, strftime(r.recorded_at, '%Y-%m') period,
 
 ORACLE = {
     "p2_found": _TREE + "SELECT id section_id, root_id, depth::int depth, path FROM t UNION ALL SELECT id, root_id, -1, CASE WHEN on_it THEN 'cycle' ELSE 'below' END FROM c",
-    "p2_descendants": _TREE + ", x AS (SELECT unnest(string_split(path, '/'))::bigint id FROM t) SELECT l.id section_id, greatest(coalesce(count(x.id), 0) - 1, 0)::bigint descendants FROM l LEFT JOIN x ON x.id = l.id GROUP BY l.id",
+    "p2_descendants": _TREE + _UNDER + " SELECT l.id section_id, coalesce(n, 0)::bigint descendants FROM l LEFT JOIN (SELECT id, count(*) n FROM under GROUP BY id) USING (id)",
+    "p2_descendant_list": _TREE + _UNDER + " SELECT id section_id, descendant FROM under",
     "p6_found": _P6 + "SELECT * FROM f WHERE kind IS NOT NULL",
     "p6_report": _P6 + "SELECT table_name, field, period, kind, count(*) n FROM f WHERE kind IS NOT NULL GROUP BY ALL",
 }

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators.hierarchy import clean_number, descendants, hierarchy, number_parents, subtree_sizes
+from corpusloom.operators.hierarchy import all_descendants, clean_number, descendants, hierarchy, number_parents, subtree_sizes
 from corpusloom.operators.references import bloom_filter, broken_references, maybe_present, month
 from corpusloom.plans import clear, cut, hot_keys, lookup_join
 
@@ -29,22 +29,39 @@ def brute(links):
     return out
 
 
-def check(spark, links):
-    rows = hierarchy(spark.createDataFrame(links, LINK)).collect()
-    assert {r.id: (r.root_id, r.depth, r.path) for r in rows} == brute(links)
-    assert len(rows) == len({r.id for r in rows})
+def sizes(links):
+    parent = {i: p for i, p in links if i is not None and p is not None}
+    out = {i: set() for i, _ in links if i is not None}
+    for i in out:
+        at, way = i, set()
+        while at in out and at not in way:
+            way.add(at)
+            out[at].add(i)
+            at = parent.get(at)
+    return {i: len(under - {i}) for i, under in out.items()}
+
+
+def check(spark, links, *finishes):
+    for finish in finishes:  # links left to one task: none, the last few, all
+        tree = hierarchy(spark.createDataFrame(links, LINK), finish=finish)
+        rows = tree.collect()
+        assert {r.id: (r.root_id, r.depth, r.path) for r in rows} == brute(links)
+        assert len(rows) == len({r.id for r in rows})
+        assert {r.id: r["size"] - 1 for r in rows} == sizes(links)
+        under = all_descendants(tree).groupBy("id").count().collect()
+        assert {r.id: r["count"] for r in under} == {i: n for i, n in sizes(links).items() if n}
 
 
 def test_chain_star_and_circles(spark):
     chain = [(k, k - 1 if k else None) for k in range(40)]
     star = [(100 + k, 100 if k else 5) for k in range(30)]
     ring = [(200, 203), (201, 200), (202, 201), (203, 202), (204, 202), (205, 204), (300, 300), (301, 300)]
-    check(spark, [*chain, *star, *ring, (400, 999), (401, None), (401, None), (None, 3), (None, None)])
+    check(spark, [*chain, *star, *ring, (400, 999), (401, None), (401, None), (None, 3), (None, None)], 0, 1000)
 
 
 def test_random_forest_with_circles(spark):
     rnd = random.Random(5)
-    check(spark, [(k, rnd.choice([None, 9999, rnd.randrange(150), max(0, k - rnd.randrange(1, 4))])) for k in range(150)])
+    check(spark, [(k, rnd.choice([None, 9999, rnd.randrange(150), max(0, k - rnd.randrange(1, 4))])) for k in range(150)], 40)
 
 
 def test_hierarchy_of_nothing(spark):
@@ -54,7 +71,7 @@ def test_hierarchy_of_nothing(spark):
 def test_descendants(spark):
     tree = hierarchy(spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 1), (5, 6), (6, 5)], LINK))
     assert {tuple(r) for r in descendants(tree).collect()} == {(1, 2, 1), (1, 3, 2), (2, 3, 1), (1, 4, 1)}
-    assert {r.id: r.descendants for r in subtree_sizes(tree).collect()} == {1: 3, 2: 1, 3: 0, 4: 0, 5: 0, 6: 0}
+    assert {r.id: r.descendants for r in subtree_sizes(tree).collect()} == {1: 3, 2: 1, 3: 0, 4: 0, 5: 1, 6: 1}
 
 
 def test_numbers_in_many_forms(spark):
