@@ -102,17 +102,21 @@ def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
     return _severity(spark, sf).groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.round(F.avg(bad), 4).alias("share_harmful"))
 
 
-def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+def _scans(spark: SparkSession, sf: str) -> tuple[DataFrame, scanned.LineModel]:
     pages, paragraphs = read(spark, sf, "pages"), read(spark, sf, "paragraphs")
     return scanned.damage(spread(pages.select("id", "textbook_id", "page_number", "raw_text")), spread(paragraphs.select("id", "page_id", "text")))
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _scans(spark, sf)[0].select("table_name", "row_id", "line_no", "kind", "word").distinct()
+
+
 def p1_text(spark: SparkSession, sf: str) -> DataFrame:
     pages, paragraphs = read(spark, sf, "pages"), read(spark, sf, "paragraphs")
     rows = pages.select(F.lit("pages").alias("table_name"), F.col("id").alias("row_id"), F.col("raw_text").alias("text")).unionByName(
         paragraphs.select(F.lit("paragraphs").alias("table_name"), F.col("id").alias("row_id"), "text")
     )
-    return scanned.repaired(rows, p1_found(spark, sf))
+    return scanned.repaired(rows, *_scans(spark, sf))
 
 
 QUERIES = {

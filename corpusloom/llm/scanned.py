@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -14,26 +13,23 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.lines import CHAPTER, NUMBERED, LineModel, header_keys, looks, page_number, starts
 from corpusloom.plans import cut, lookup_join, spread
 
-#: Bits of the filters that are sent to all tasks, whatever the size of the corpus.
-FILTER_BITS = 1 << 25
+#: Bits a key in the filters that are sent to all tasks, and the most bits of a filter, whatever the size of the corpus.
+BITS_A_KEY, FILTER_BITS = 16, 1 << 28
 #: Pages on which a header must stand; how much commoner an intended word must be than its misreading, and how common.
 REPEATED, COMMONER, KNOWN = 3, 20, 8
 #: Distinct words gathered by a task before it hands its counts on.
 GATHERED = 400_000
+#: Texts of several lines on which the model of lines is fitted at most (those of smallest hash), and their characters.
+SAMPLE, SAMPLE_CHARS = 8_000, 20_000
+#: Letters of the longest word that is repaired.
+LONGEST = 64
 
-_NUMBER = regex.compile(r"^(?P<lead>\s*)(?P<open>[-–—\[(]\s?|p\.\s?|page\s|seite\s)?(?P<n>[0-9lIOoSB|]{1,5}|[ivxlcIVXLC1]{1,8})(?P<of>\s?/\s?[0-9lIOoSB|]{1,5})?(?P<close>\s?[-–—\])])?\s*$", regex.I)
-_NUMBERED = regex.compile(r"^\s*(?:[0-9lIO|]{1,5}|[ivxlc]{1,7})\s{3,}(?P<t>\S.*)$|^(?P<t>\S.*?)\s{2,}[|]\s{2,}\S{1,7}\s*$")
-_CHAPTER = regex.compile(r"^\s*\w{2,3}[.,|]?.?\s?[0-9lIO|]{1,3}\s[·.~^|]\s")
-_HEADING = regex.compile(r"^\s*(?:§\s?)?(?:[0-9]+(?:[.][0-9]+)*|[A-Z](?:[.][0-9]+)+)[.:]?\s\p{L}")
-_PARTED = regex.compile(r"\s[—–|·]\s")
 _BROKEN = regex.compile(r"([\p{L}\p{N}'’^~·|!(\-]*\p{L}[\p{L}\p{N}^~·|!(]*)[-–¬­]\s*$")
 _FIRST = regex.compile(r"\s*([\p{L}^~·|!0-9(][\p{L}\p{N}^~·|!(.'’\-]*)")
-_PLAIN = re.compile(r"(?:^|\s)[a-zß-ÿ]\w{3,}.*?\s[a-zß-ÿ]\w{3,}")
 _AROUND = ".,;:?\"“”„'’‘()[]{}—–…«»*_`"
-_LETTERS = regex.compile(r"[^\p{L} ]+")
-_DIGITS = str.maketrans("lIOoSB|", "1100581")
 
 # What a scanner reads, and what stood there.
 MISREAD = {
@@ -44,125 +40,16 @@ MISREAD = {
 _NOISE = ".^~|·_*'`,:-¸¨˙°"
 
 
-def hash_of(key: str) -> int:
-    return xxhash.xxh64_intdigest(key) & (FILTER_BITS - 1)
-
-
-def roman(text: str) -> int:
-    value, last = 0, 0
-    for ch in reversed(text.lower()):
-        v = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}.get(ch, 0)
-        value += v if v >= last else -v
-        last = max(last, v)
-    return value
-
-
-def page_number(line: str) -> tuple[bool, int, bool] | None:
-    """(marked as a page number by its form, value, roman) of a line that is only a number, else None."""
-    m = _NUMBER.match(line)
-    if not m:
-        return None
-    n = m["n"]
-    marked = bool(m["open"] and (m["close"] or m["open"][0] in "pPsS") or m["of"] or len(m["lead"]) >= 3)
-    if n.lower().strip("ivxlc") == "" and not (n.lower().strip("l") == "" and "l" in n):
-        return marked, roman(n), True
-    digits = n.translate(_DIGITS)
-    if not digits.isdigit():
-        return (marked, roman(n.replace("1", "i")), True) if marked else None
-    return marked, int(digits), False
-
-
-def header_keys(line: str) -> list[str]:
-    """Keys of a line that could be a running header: its letters without page numbers, and with each word left out;
-    after them, marked, the parts of a line that is parted by a dash or bar."""
-    text = line.strip()
-    if not 4 < len(text) <= 110 or text[-1] in ".;,?!" or _HEADING.match(line) and not _NUMBERED.match(line):
-        return []
-    m = _NUMBERED.match(line)
-    words = [w for w in _LETTERS.sub("", (m["t"] if m else text).lower()).split() if len(w) > 1]
-    if len(words) < 2:
-        return []
-    keys = [" ".join(words)]
-    if len(words) > 2:
-        keys += [" ".join([*words[:k], "*", *words[k + 1 :]]) for k in range(len(words))]
-    parts = _PARTED.split(text)
-    if len(parts) > 1:
-        keys += ["= " + p for part in parts if " " in (p := " ".join(w for w in _LETTERS.sub("", part.lower()).split() if len(w) > 1))]
-    return keys
-
-
-def _header_score(line: str, first: bool, filter_: np.ndarray) -> float:
-    """Log-odds of header against body by the look of a line."""
-    m = _NUMBERED.match(line)
-    text = (m["t"] if m else line).strip()
-    if len(text) < 4 or len(text) > 110:
-        return -9.0
-    score = -4.0
-    keys = header_keys(line)
-    if keys and _in(filter_, hash_of("h " + keys[0])):
-        score += 6
-    elif any(_in(filter_, hash_of("h " + k)) for k in keys[1:]):
-        score += 5
-    if m:
-        score += 5
-    if _CHAPTER.match(line):
-        score += 4
-    letters = [c for c in text if c.isalpha()]
-    words = [w for w in text.split() if len(w) > 3 and w[0].isalpha()]
-    high = sum(w[0].isupper() for w in words)
-    if letters and sum(c.isupper() for c in letters) > 0.8 * len(letters) and len(letters) > 6:
-        score += 4
-    elif words and high == len(words) > 1:
-        score += 3
-    elif high < 0.6 * len(words):
-        score -= 6
-    if text[-1] in ".;,?!" or text[0].islower():
-        score -= 5
-    if _HEADING.match(line) and not m:
-        score -= 8
-    if text[0] in "[(":
-        score -= 4
-    return score + 1.0 * first
-
-
-# Log-odds of a label after another: start, header, number, body.
-_STEP = {
-    "s": {"h": 0.5, "n": -0.5, "b": 0.0}, "h": {"h": -5.0, "n": -1.5, "b": 0.0},
-    "n": {"h": 2.0, "n": -3.0, "b": 0.0}, "b": {"h": -1.0, "n": -0.5, "b": 0.0},
-}
+def _in(bits: np.ndarray, key: str) -> bool:
+    h = xxhash.xxh64_intdigest(key) & (len(bits) * 8 - 1)
+    return bool(bits[h >> 3] >> (h & 7) & 1)
 
-_BODY = {"h": -9.0, "n": -9.0, "b": 0.0}
 
-
-def label_lines(lines: list[str], filter_: np.ndarray, whole_page: bool) -> tuple[str, dict[int, tuple[int, bool]]]:
-    """A label for each line: h header, n page number, b body; and (value, roman) of lines that are a bare number.
-
-    Viterbi over the lines, the scores being log-odds against body. A bare number that its form doesn't mark as a page
-    number gets a low score here; whether it is the page's own number is decided later, when that is known.
-    """
-    numbers = [page_number(x) if len(x) < 16 else None for x in lines]
-    bare = {k: (n[1], n[2]) for k, n in enumerate(numbers) if n and not n[0]}
-    scores, open_ = [], False
-    for k, (line, n) in enumerate(zip(lines, numbers)):
-        score = _BODY
-        if n:
-            score = {"h": -9.0, "n": 5.0 if n[0] else -1.0, "b": 0.0}
-        elif (not whole_page or k < 2 or numbers[k - 1]) and 4 < len(line) < 120 and line[-1] != ".":
-            # two longer words in lower case are a sentence's, whatever else a line is like
-            if not _PLAIN.search(line):
-                score = {"h": _header_score(line, whole_page and k == 0, filter_), "n": -9.0, "b": 0.0}
-        open_ |= score is not _BODY
-        scores.append(score)
-    if not open_:
-        return "b" * len(lines), bare
-    best = {"s": (0.0, "")}
-    for s in scores:
-        best = {to: max((score + _STEP[last][to] + s[to], path + to) for last, (score, path) in best.items()) for to in "hnb"}
-    return max(best.values())[1], bare
-
-
-def _in(bits: np.ndarray, h: int) -> bool:
-    return bool(bits[h >> 3] >> (h & 7) & 1)
+def label_lines(lines: list[str], model: LineModel, bits: np.ndarray | None, whole_page: bool) -> tuple[str, dict[int, tuple[int, bool]]]:
+    """A label for each line (h header, n page number, b body), and (value, roman) of lines that are a bare number."""
+    known = (lambda key: False) if bits is None else lambda key: _in(bits, "h " + key)
+    symbols, bare = looks(lines, known, whole_page)
+    return model.labels(symbols, whole_page), bare
 
 
 def _plain_word(token: str) -> str:
@@ -176,9 +63,11 @@ def _variants(token: str) -> tuple[str, ...]:
     return (w, edge) if edge != w and edge and (edge[0] in "(!|" or edge[-1] in "!|(") and ")" not in edge else (w,)
 
 
-def _words(lines: list[str], labels: str) -> tuple[list[tuple[int, list[str]]], list[tuple[int, str, str]]]:
-    """(line, tokens) of whole words in body lines, and (line, first, second half) of words broken over two of them."""
-    body = [k for k, x in enumerate(labels) if x == "b" and lines[k].strip()]
+def _words(lines: list[str], labels: str, bare: dict) -> tuple[list[tuple[int, int, list[str]]], list[tuple[int, str, str]]]:
+    """(line, place of the first, tokens) of whole words in body lines; (line, first, second half) of words broken over two.
+
+    A bare number has no words, and doesn't part the halves of one, whether it is a page number or not."""
+    body = [k for k, x in enumerate(labels) if x == "b" and k not in bare and lines[k].strip()]
     words, broken, skip = [], [], False
     for n, k in enumerate(body):
         line = lines[k]
@@ -192,7 +81,7 @@ def _words(lines: list[str], labels: str) -> tuple[list[tuple[int, list[str]]],
             if second and not f[1][0].isupper() | f[1][0].isdigit() and first:
                 broken.append((k, first, second))
                 end, skip = end - 1, True
-        words.append((k, tokens[begin:end]))
+        words.append((k, begin, tokens[begin:end]))
     return words, broken
 
 
@@ -203,7 +92,7 @@ def _book(book: Column) -> Column:
 def _gather(rows: DataFrame) -> DataFrame:
     """(kind, key, n, m): counts of words (n whole, m put together) over distinct texts, of header keys by book over the
     distinct pages of each, and of page offsets over all pages. Header keys and offsets have their book before a tab."""
-    empty = np.zeros(FILTER_BITS >> 3, np.uint8)
+    model = LineModel.prior()
 
     def frame(kind: str, counts: dict) -> pd.DataFrame:
         return pd.DataFrame({"kind": np.full(len(counts), kind, object), "key": np.array(list(counts), object), "n": [x[0] if isinstance(x, list) else x for x in counts.values()], "m": [x[1] if isinstance(x, list) else 0 for x in counts.values()]}).astype({"n": "int64", "m": "int64"})
@@ -226,9 +115,9 @@ def _gather(rows: DataFrame) -> DataFrame:
         for b in batches:
             for whole_page, text in zip(b["whole_page"], b["text"]):
                 lines = text.split("\n")
-                labels = label_lines(lines, empty, whole_page)[0] if len(lines) > 1 else "b"
-                words, broken = _words(lines, labels)
-                for _, t in words:
+                labels, bare = label_lines(lines, model, None, whole_page) if len(lines) > 1 else ("b", {})
+                words, broken = _words(lines, labels, bare)
+                for _, _, t in words:
                     tokens.update(t)
                 joined.update(a + z for _, a, z in broken)
             if len(tokens) + len(joined) > GATHERED:
@@ -238,8 +127,8 @@ def _gather(rows: DataFrame) -> DataFrame:
     def headed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             keys = Counter()
-            for book, first, second in zip(b["book"], b["first"], b["second"]):
-                for line in {first, second if page_number(first) else first}:
+            for book, first, second, third, last in zip(b["book"], b["first"], b["second"], b["third"], b["last"]):
+                for line in {second if page_number(first) else first, first, third if page_number(last) else last}:
                     keys.update(f"{book}\t{key}" for key in header_keys(line))
             yield frame("h", keys)
 
@@ -256,9 +145,9 @@ def _gather(rows: DataFrame) -> DataFrame:
     texts = rows.groupBy("text").agg(F.max(F.col("table_name") == "pages").alias("whole_page"))
     lines = F.split("text", "\n")
     pages = rows.where("table_name = 'pages'").select(_book(F.col("book")).alias("book"), "page", F.xxhash64("text").alias("same"), lines.alias("l")).where("size(l) > 1")
-    pages = pages.select("book", "page", "same", F.col("l")[0].alias("first"), F.col("l")[1].alias("second"), F.element_at("l", -1).alias("last"))
+    pages = pages.select("book", "page", "same", F.col("l")[0].alias("first"), F.col("l")[1].alias("second"), F.element_at("l", -2).alias("third"), F.element_at("l", -1).alias("last"))
     found = spread(texts).mapInPandas(run, out)
-    found = found.unionByName(pages.select("book", "same", "first", "second").distinct().mapInPandas(headed, out))
+    found = found.unionByName(pages.select("book", "same", "first", "second", "third", "last").distinct().mapInPandas(headed, out))
     found = found.unionByName(pages.where("book <> '-' and page is not null").mapInPandas(offset, out))
     return found.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
@@ -277,57 +166,83 @@ def readings(word: str) -> list[str]:
         return out
 
     first = once(word)
-    second = {v for w in first for v in once(w)} - first if 5 < len(word) < 20 else set()
+    second = {v for w in first for v in once(w)} - first if len(word) > 5 else set()
     return [*sorted(first - {word}), *("2" + v for v in sorted(second - {word}))]
 
 
 def _corrections(words: DataFrame) -> DataFrame:
-    """(word, intended) for words with a far commoner reading; a single confusion goes before two."""
+    """(word, intended) for words with a far commoner reading; a single confusion goes before two.
+
+    A reading is handed on only if it is in a filter of the common words; the join then settles it.
+    """
+    lexicon = words.where(F.col("n") >= KNOWN).select(F.col("key").alias("intended"), F.col("n").alias("known"))
+    sent = words.sparkSession.sparkContext.broadcast(_bits(lexicon.select(F.col("intended").alias("key"))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = sent.value
         for b in batches:
-            rows = [(w, n, v.lstrip("2"), v[0] == "2") for w, n in zip(b["key"], b["n"]) if 1 < len(w) < 40 for v in readings(w) if v.lstrip("2").replace("-", "").isalpha()]
+            rows = [(w, n, v.lstrip("2"), v[0] == "2") for w, n in zip(b["key"], b["n"]) if 1 < len(w) <= LONGEST for v in readings(w) if _in(bits, v.lstrip("2")) and v.lstrip("2").replace("-", "").isalpha()]
             yield pd.DataFrame(rows, columns=["word", "n", "intended", "twice"])
 
     rare = words.join(F.broadcast(words.agg(F.max("n").alias("top"))), F.col("n") * COMMONER < F.col("top")).drop("top")
     options = rare.select("key", "n").mapInPandas(run, "word string, n long, intended string, twice boolean")
-    lexicon = words.where(F.col("n") >= KNOWN).select(F.col("key").alias("intended"), F.col("n").alias("known"))
     fits = options.join(lexicon, "intended").where((F.col("known") >= F.col("n") * COMMONER) & (~F.col("twice") | (F.col("known") >= F.col("n") * 5 * COMMONER)))
     return fits.groupBy("word").agg(F.max(F.struct(~F.col("twice"), "known", "intended"))["intended"].alias("intended"))
 
 
-def _bits(*keys: DataFrame) -> np.ndarray:
-    """A bit filter of keys; what comes to the driver is at most FILTER_BITS / 64 numbers, whatever their number."""
+def _bits(keys: DataFrame) -> np.ndarray:
+    """A bit filter of keys, sized by their number; what comes to the driver is at most FILTER_BITS / 8 numbers."""
+    size = 1 << min(max(keys.count() * BITS_A_KEY, 1 << 16).bit_length(), FILTER_BITS.bit_length() - 1)
+
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            h = np.fromiter(map(hash_of, b["key"]), np.int64, len(b))
-            yield pd.DataFrame({"w": h >> 3, "b": (1 << (h & 7)).astype(np.int32)})
+            h = np.fromiter((xxhash.xxh64_intdigest(k) & (size - 1) for k in b["key"]), np.int64, len(b))
+            yield pd.DataFrame({"w": h >> 6, "b": np.left_shift(np.int64(1), h & 63)})
+
+    rows = keys.mapInPandas(hashed, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    bits = np.zeros(size >> 6, np.int64)
+    bits[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64)
+    return bits.view(np.uint8)
+
+
+def fit_lines(rows: DataFrame, bits: np.ndarray, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> LineModel:
+    """The model of lines, fitted on at most ``sample`` texts of several lines, those of smallest hash among the texts of
+    at most ``chars`` characters. Only their symbols come to the driver, a few bytes a line."""
+    sent = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            seen, begun = [], []
+            for table, text in zip(b["table_name"], b["text"]):
+                lines = text.split("\n")
+                seen.append(np.array(looks(lines, lambda key: _in(sent.value, "h " + key), table == "pages")[0], np.int16).tobytes())
+                begun.append(np.array(starts(lines), np.int8).tobytes())
+            yield pd.DataFrame({"page": (b["table_name"] == "pages").astype(np.int32), "seen": seen, "begun": begun})
 
-    parts = reduce(DataFrame.unionByName, keys).mapInPandas(hashed, "w long, b int")
-    rows = parts.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    bits = np.zeros(FILTER_BITS >> 3, np.uint8)
-    bits[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.uint8)
-    return bits
+    some = rows.where((F.instr("text", "\n") > 0) & (F.length("text") <= chars)).select("table_name", "text", F.xxhash64("text", "table_name").alias("h"))
+    got = some.orderBy("h", "table_name").limit(sample).select("table_name", "text").mapInPandas(run, "page int, seen binary, begun binary").toPandas()
+    texts = [(p, np.frombuffer(x, np.int16).astype(np.int64), np.frombuffer(y, np.int8).reshape(-1, 4).astype(np.int64)) for p, x, y in zip(got["page"], got["seen"], got["begun"])]
+    return LineModel.prior().fit(texts)
 
 
-def _cases(rows: DataFrame, bits: np.ndarray) -> DataFrame:
-    """Everything in each row that may be a case: (table_name, row_id, page_id, line_no, kind, a, b, value).
+def _cases(rows: DataFrame, bits: np.ndarray, model: LineModel) -> DataFrame:
+    """Everything in each row that may be a case: (table_name, row_id, page_id, line_no, kind, a, b, value, token).
 
-    A header that is one only by its keys has them in a; what its line holds if it is none has the value -1.
+    A header that is one only by its keys has them in a; what its line holds if it is none has the value -1. A misread
+    word has its forms that pass the filter in a and b and its place in the line in token.
     """
-    none = np.zeros(FILTER_BITS >> 3, np.uint8)
-    sent = rows.sparkSession.sparkContext.broadcast(bits)
+    sent = rows.sparkSession.sparkContext.broadcast((bits, model))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, sound = sent.value, set()
+        (bits, model), sound = sent.value, set()
 
-        def misread(line_words: list[str]) -> Iterator[str]:
-            for t in line_words:
+        def misread(begin: int, line_words: list[str]) -> Iterator[tuple[str, str, int]]:
+            for k, t in enumerate(line_words, begin):
                 if t in sound:
                     continue
-                hit = next((w for w in _variants(t) if w and _in(bits, hash_of("m " + w))), "")
-                if hit:
-                    yield hit
+                hits = [w for w in _variants(t) if w and _in(bits, "m " + w)]
+                if hits:
+                    yield hits[0], hits[-1] if len(hits) > 1 else "", k
                 else:
                     if len(sound) > GATHERED:
                         sound.clear()
@@ -337,43 +252,44 @@ def _cases(rows: DataFrame, bits: np.ndarray) -> DataFrame:
             out = []
             for table, row, page, text in zip(batch["table_name"], batch["row_id"], batch["page_id"], batch["text"]):
                 lines = text.split("\n")
-                labels, bare = label_lines(lines, bits, table == "pages")
-                hits = {k: hit for k, x in enumerate(labels) if x == "h" and (hit := [key for key in header_keys(lines[k]) if _in(bits, hash_of("h " + key))])}
+                labels, bare = label_lines(lines, model, bits, table == "pages")
+                hits = {k: hit for k, x in enumerate(labels) if x == "h" and (hit := [key for key in header_keys(lines[k]) if _in(bits, "h " + key)])}
                 if len(lines) == 1 and table != "pages":
-                    labels = "b" if labels == "h" and not _NUMBERED.match(lines[0]) and not _CHAPTER.match(lines[0]) else labels
+                    labels = "b" if labels == "h" and not NUMBERED.match(lines[0]) and not CHAPTER.match(lines[0]) else labels
                 at = (table, row, page)
-                alone = label_lines(lines, none, table == "pages")[0] if hits else labels
+                alone = label_lines(lines, model, None, table == "pages")[0] if hits else labels
                 hits = {k: hit for k, hit in hits.items() if labels[k] == "h" != alone[k]}
                 for k, x in enumerate(labels):
                     if x == "h":
-                        out.append((*at, k + 1, "header", "\n".join(hits.get(k, ())), "", None))
+                        out.append((*at, k + 1, "header", "\n".join(hits.get(k, ())), "", None, None))
                     elif x == "n" and k not in bare:
-                        out.append((*at, k + 1, "page_number", "", "", None))
+                        out.append((*at, k + 1, "page_number", "", "", None, None))
                     elif k in bare:
-                        out.append((*at, k + 1, "number", "r" if bare[k][1] else "", "", bare[k][0]))
-                words, broken = _words(lines, labels)
-                for k, line_words in words:
-                    out.extend((*at, k + 1, "misread", hit, "", None) for hit in misread(line_words))
-                out.extend((*at, k + 1, "hyphen", a, z, None) for k, a, z in broken)
+                        out.append((*at, k + 1, "number", "r" if bare[k][1] else "", "", bare[k][0], None))
+                words, broken = _words(lines, labels, bare)
+                for k, begin, line_words in words:
+                    out.extend((*at, k + 1, "misread", a, b, None, t) for a, b, t in misread(begin, line_words))
+                out.extend((*at, k + 1, "hyphen", a, z, None, None) for k, a, z in broken)
                 if hits:
-                    words, broken = _words(lines, alone)
-                    out.extend((*at, k + 1, "misread", hit, "", -1) for k, line_words in words if k in hits for hit in misread(line_words))
-                    out.extend((*at, k + 1, "hyphen", a, z, -1) for k, a, z in broken if k in hits)
-            frame = pd.DataFrame(out, columns=["table_name", "row_id", "page_id", "line_no", "kind", "a", "b", "value"])
-            frame["value"] = frame["value"].astype("Int64")
-            yield frame
+                    words, broken = _words(lines, alone, bare)
+                    out.extend((*at, k + 1, "misread", a, b, -1, t) for k, begin, line_words in words if k in hits for a, b, t in misread(begin, line_words))
+                    out.extend((*at, k + 1, "hyphen", a, z, -1, None) for k, a, z in broken if k in hits)
+            frame = pd.DataFrame(out, columns=["table_name", "row_id", "page_id", "line_no", "kind", "a", "b", "value", "token"])
+            yield frame.astype({"value": "Int64", "token": "Int64"})
 
-    return rows.mapInPandas(run, "table_name string, row_id long, page_id long, line_no int, kind string, a string, b string, value long")
+    return rows.mapInPandas(run, "table_name string, row_id long, page_id long, line_no int, kind string, a string, b string, value long, token int")
 
 
-def damage(pages: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """(table_name, row_id, line_no, kind, word): every damaged place in pages.raw_text and paragraphs.text.
+def damage(pages: DataFrame, paragraphs: DataFrame) -> tuple[DataFrame, LineModel]:
+    """(table_name, row_id, line_no, kind, word, token, form) of every damaged place in pages.raw_text and
+    paragraphs.text, and the model of lines. token and form are a misread word's place in its line and how it stands there.
 
-    Lines are labelled header, page number or body by Viterbi over layout features: form, case, place, and whether the
-    line (or it without one of its words) heads several pages of its book. Copies of a text count once. A bare number is a page number if it is the page's own,
+    Lines are labelled header, page number, body or break by a hidden Markov model fitted on a sample of these texts;
+    its symbols are form, case, place, and whether the line (or it without one of its words) heads several pages of its
+    book. Copies of a text count once. A bare number is a page number if it is the page's own,
     by the offset that most pages of its book show. Words are compared with the words of the whole corpus: a broken word
     is put together, with its hyphen if it is commoner so; a word is misread if undoing a confusion gives a far commoner
-    one. Only filters of fixed size are broadcast; the candidates they let through are settled by joins. Null and empty
+    one. Only filters of bounded size are broadcast; the candidates they let through are settled by joins. Null and empty
     texts have no lines; repeated rows count once.
     """
     p = pages.select("id", F.col("textbook_id").alias("book"), F.col("page_number").alias("page"), F.col("raw_text").alias("text"))
@@ -385,7 +301,9 @@ def damage(pages: DataFrame, paragraphs: DataFrame) -> DataFrame:
     fixes = cut(_corrections(words))
     by_key = seen.where((F.col("kind") == "h") & (F.col("n") >= REPEATED)).select(F.col("key").alias("in_book"), F.substring_index("key", "\t", -1).alias("key"))
     headers = by_key.select(F.concat(F.lit("h "), "key").alias("key"))
-    cases = cut(_cases(rows, _bits(headers, fixes.select(F.concat(F.lit("m "), "word").alias("key")))).distinct())
+    bits = _bits(headers.unionByName(fixes.select(F.concat(F.lit("m "), "word").alias("key"))))
+    model = fit_lines(rows, bits)
+    cases = cut(_cases(rows, bits, model).distinct())
     # a header by its keys: they must head pages of its own book, or of any if its book is not known
     line = ["table_name", "row_id", "line_no"]
     doubtful = cases.where("kind = 'header' and a <> ''")
@@ -398,7 +316,7 @@ def damage(pages: DataFrame, paragraphs: DataFrame) -> DataFrame:
     inside = cases.where("kind in ('misread', 'hyphen')")
     inside = cut(inside.where("value is null").unionByName(inside.where("value = -1").join(no_header, line, "left_semi").select(*inside.columns)))
     plain = cases.where("kind = 'page_number' or kind = 'header' and a = ''").select(*line, "kind", F.lit("").alias("word"))
-    plain = plain.unionByName(sure.select(*line, F.lit("header").alias("kind"), F.lit("").alias("word")))
+    plain = plain.unionByName(sure.select(*line, F.lit("header").alias("kind"), F.lit("").alias("word"))).distinct()
 
     votes = seen.where("kind = 'o'").select(F.split("key", "\t")[0].cast("long").alias("book"), F.split("key", "\t")[1].cast("int").alias("offset"), "n")
     usual = votes.groupBy("offset").agg(F.sum("n").alias("n")).agg(F.max_by("offset", F.struct("n", "offset")).alias("usual"))
@@ -409,8 +327,13 @@ def damage(pages: DataFrame, paragraphs: DataFrame) -> DataFrame:
     own = F.when(F.col("a") == "r", (F.col("value") == F.col("page")) & (F.col("page") <= F.col("offset"))).otherwise(F.col("value") == F.col("page") - F.col("offset"))
     bare = numbers.join(where, "page_id").where(own).select("table_name", "row_id", "line_no", F.lit("page_number").alias("kind"), F.lit("").alias("word"))
 
-    spotted = inside.where("kind = 'misread'").select("table_name", "row_id", "line_no", F.col("a").alias("word"))
-    misread = lookup_join(spotted, fixes, "word", "inner").select("table_name", "row_id", "line_no", F.lit("misread").alias("kind"), F.col("intended").alias("word"))
+    # a form that only the filter takes for misread gives way to the other one
+    spotted = inside.where("kind = 'misread'").select(*line, "token", F.col("a").alias("form"), "b")
+    first = lookup_join(spotted, fixes.select(F.col("word").alias("form"), "intended"), "form")
+    second = first.where("intended is null and b <> ''").select(*line, "token", F.col("b").alias("form"))
+    second = lookup_join(second, fixes.select(F.col("word").alias("form"), "intended"), "form", "inner")
+    misread = first.where("intended is not null").select(*line, "token", "form", "intended").unionByName(second.select(*line, "token", "form", "intended"))
+    misread = misread.select(*line, F.lit("misread").alias("kind"), F.col("intended").alias("word"), "token", "form")
 
     split = inside.where("kind = 'hyphen'")
     pairs = split.select("a", "b").distinct()
@@ -421,71 +344,67 @@ def damage(pages: DataFrame, paragraphs: DataFrame) -> DataFrame:
     best = best.join(alone, "b", "left").where("w.n > 0 or w.fixed or alone is null").select("a", "b", F.when(F.col("w.n") > 0, F.col("w.word")).otherwise(F.when(F.col("w.fixed"), F.col("w.word")).otherwise(F.concat("a", "b"))).alias("word"))
     pair = F.concat_ws("\n", "a", "b")
     hyphen = lookup_join(split.withColumn("pair", pair), best.select(pair.alias("pair"), "word"), "pair", "inner").select("table_name", "row_id", "line_no", "kind", "word")
-    return plain.unionByName(bare).unionByName(misread).unionByName(hyphen).distinct()
+    whole = plain.unionByName(bare).unionByName(hyphen).withColumns({"token": F.lit(None).cast("int"), "form": F.lit(None).cast("string")})
+    return whole.unionByName(misread), model
 
 
-def reassemble(text: str, cases: list[tuple[int, str, str]]) -> str:
+def reassemble(text: str, cases: list[tuple], model: LineModel | None = None) -> str:
     """A text as continuous paragraphs: headers and page numbers left out, broken words joined, misread words replaced.
 
-    A paragraph ends where a line ends a sentence and is clearly shorter than the widest; lines of numbers or formulas,
-    headings and captions stand by themselves. Paragraphs are parted by blank lines.
+    ``cases`` are (line, kind, word, token, form); a misread word is replaced where it stands, by its place in the line
+    (counted from 0) and its form, and nothing else is touched. Paragraphs begin at the lines that the model labels as
+    breaks, and are parted by blank lines.
     """
+    model = model or LineModel.prior()
     lines = text.split("\n")
-    gone = {n for n, kind, _ in cases if kind in ("header", "page_number")}
-    width = max((len(x.rstrip()) for k, x in enumerate(lines) if k + 1 not in gone), default=0)
-    wrong: dict[int, list[str]] = {}
+    gone = {n for n, kind, *_ in cases if kind in ("header", "page_number")}
+    wrong: dict[int, dict[int, tuple[str, str]]] = {}
     joined: dict[int, str] = {}
-    for n, kind, word in cases:
+    for n, kind, word, token, form in cases:
         if kind == "misread":
-            wrong.setdefault(n, []).append(word)
+            wrong.setdefault(n, {})[int(token)] = (form, word)
         elif kind == "hyphen":
             joined[n] = word
-    out: list[list[str]] = [[]]
+    body = [n for n, line in enumerate(lines, 1) if n not in gone and line.strip()]
+    new = model.breaks([lines[n - 1] for n in body])
+    out: list[list[str]] = []
     drop_first = False
-    for n, line in enumerate(lines, 1):
-        if n in gone or not line.strip():
-            continue
-        tokens = line.split()
-        if drop_first and tokens:
+    for n, starts_new in zip(body, new):
+        tokens = lines[n - 1].split()
+        for k, (form, word) in wrong.get(n, {}).items():
+            t = tokens[k] if k < len(tokens) else ""
+            at = t.lower().find(form)
+            if t and at >= 0:
+                tokens[k] = t[:at] + (word.capitalize() if t[at : at + 1].isupper() else word) + t[at + len(form) :]
+        if starts_new and not drop_first or not out:
+            out.append([])
+        if drop_first:  # the second half of a word that was broken over the lines, but for the marks after it
             tail = regex.search(r"[.,;:!?)\]”\"']+$", tokens[0])
             if tail and out[-1]:
                 out[-1][-1] += tail[0]
             tokens = tokens[1:]
-        drop_first = False
-        for word in wrong.get(n, ()):
-            for k, t in enumerate(tokens):
-                if any(word == r.lstrip("2") for v in _variants(t) for r in readings(v)):
-                    core = next(v for v in reversed(_variants(t)) if any(word == r.lstrip("2") for r in readings(v)))
-                    at = t.lower().find(core)
-                    fixed = word.capitalize() if t[at : at + 1].isupper() else word
-                    tokens[k] = t[:at] + fixed + t[at + len(core) :]
-                    break
-        if n in joined and tokens:
+        drop_first = n in joined and bool(tokens)
+        if drop_first:
             m = regex.match(r"^[\"“(\[]*", tokens[-1])
             word = joined[n]
             tokens[-1] = m[0] + (word[:1].upper() + word[1:] if tokens[-1][len(m[0]) :][:1].isupper() else word)
-            drop_first = True
-        letters = sum(c.isalpha() for c in line)
-        alone = letters < 0.4 * len(line.strip()) or bool(_HEADING.match(line))
-        if alone and out[-1]:
-            out.append([])
         out[-1].extend(tokens)
-        if alone or not drop_first and line.rstrip()[-1:] in ".?!" and len(line.rstrip()) < 0.85 * width:
-            out.append([])
     return "\n\n".join(" ".join(p) for p in out if p)
 
 
-def repaired(rows: DataFrame, found: DataFrame) -> DataFrame:
+def repaired(rows: DataFrame, found: DataFrame, model: LineModel) -> DataFrame:
     """(table_name, row_id, text): every text of ``rows`` reassembled by the cases found in it.
 
     The cases of one text meet in one row, no more of them than it has words. A null text stays null, repeated rows stay.
     """
-    per = found.groupBy("table_name", "row_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "kind", "word"))).alias("cases"))
+    fields = ["line_no", "kind", "word", "token", "form"]
+    per = found.groupBy("table_name", "row_id").agg(F.sort_array(F.collect_set(F.struct(*fields))).alias("cases"))
     joined = rows.select("table_name", "row_id", "text").join(per, ["table_name", "row_id"], "left")
+    sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = [None if t is None else reassemble(t, [(c["line_no"], c["kind"], c["word"]) for c in (cs if cs is not None else ())]) for t, cs in zip(b["text"], b["cases"])]
+            texts = [None if t is None else reassemble(t, [tuple(c[f] for f in fields) for c in (cs if cs is not None else ())], sent.value) for t, cs in zip(b["text"], b["cases"])]
             yield pd.DataFrame({"table_name": b["table_name"], "row_id": b["row_id"], "text": np.array(texts, object)})
 
     return joined.mapInPandas(run, "table_name string, row_id long, text string")

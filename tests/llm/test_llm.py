@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, formatting, harmful, leaks, lookalike, scanned, survivor, truncation
+from corpusloom.llm import bpe, formatting, harmful, leaks, lines, lookalike, scanned, survivor, truncation
 
 VOCABULARY = f"{bpe.TOKENIZERS}/byte_bpe_50k.tiktoken"
 
@@ -207,7 +207,8 @@ def test_model_without_labels(spark):
 
 
 def scanned_rows(spark, pages, paragraphs):
-    return scanned.damage(spark.createDataFrame(pages, "id long, textbook_id long, page_number int, raw_text string"), spark.createDataFrame(paragraphs, "id long, page_id long, text string"))
+    found, _ = scanned.damage(spark.createDataFrame(pages, "id long, textbook_id long, page_number int, raw_text string"), spark.createDataFrame(paragraphs, "id long, page_id long, text string"))
+    return found.select("table_name", "row_id", "line_no", "kind", "word").distinct()
 
 
 def test_scanned(spark):
@@ -229,11 +230,74 @@ def test_page_numbers():
     assert scanned.page_number("- iv -") == (True, 4, True)
     assert scanned.page_number("[l2]") == (True, 12, False)
     assert scanned.page_number("32 / 115")[0] and not scanned.page_number("75")[0]
-    assert scanned.page_number("words") is None and math.isclose(scanned.roman("xiv"), 14)
+    assert scanned.page_number("words") is None and math.isclose(lines.roman("xiv"), 14)
 
 
 def test_reassembly():
     text = "HEAD\nThe esti^mator of the vari-\n14\nance, holds here.\n7  8  9\nA new para-\ngraph that is as wide as all others"
-    cases = [(1, "header", ""), (2, "misread", "estimator"), (2, "hyphen", "variance"), (3, "page_number", ""), (6, "hyphen", "paragraph")]
+    cases = [(1, "header", "", None, None), (2, "misread", "estimator", 1, "esti^mator"), (2, "hyphen", "variance", None, None), (3, "page_number", "", None, None), (6, "hyphen", "paragraph", None, None)]
     assert scanned.reassemble(text, cases) == "The estimator of the variance, holds here.\n\n7 8 9\n\nA new paragraph that is as wide as all others"
     assert scanned.reassemble("", []) == ""
+
+
+def test_reassembly_touches_the_found_word_only():
+    assert scanned.reassemble("dogs eat the c^at here", [(1, "misread", "cat", 3, "c^at")]) == "dogs eat the cat here"
+    twice = [(1, "misread", "cat", 1, "c^at"), (1, "misread", "cat", 4, "c^at")]
+    assert scanned.reassemble("a c^at and a C^at, here", [twice[0], (1, "misread", "cat", 4, "c^at")]) == "a cat and a Cat, here"
+    assert scanned.reassemble("a c^at and a c^at here", twice) == "a cat and a cat here"
+    assert scanned.reassemble("a b", [(1, "misread", "x", 7, "z")]) == "a b"
+
+
+def test_known_damage_is_undone():
+    rnd = random.Random(11)
+    words = "the estimator of variance holds under repeated sampling and every kernel shrinks towards its limit".split()
+    for _ in range(60):
+        paragraphs = [[rnd.choice(words) for _ in range(rnd.randrange(25, 60))] for _ in range(2)]
+        for p in paragraphs:
+            p[0], p[-1] = p[0].capitalize(), p[-1] + "."
+        out, cases = [], []
+        for p in paragraphs:
+            line, begun = [], 0
+            for k, word in enumerate(p):
+                plain = word.strip(".").lower()
+                if len(plain) > 4 and rnd.random() < 0.2:
+                    bad = word[:2] + "^" + word[2:]
+                    cases.append((len(out) + 1, "misread", plain, len(line), bad.strip(".").lower()))
+                    word = bad
+                if len(line) == 8 and k < len(p) - 1:
+                    if "^" not in word and len(word) > 5 and not word.endswith(".") and rnd.random() < 0.7:
+                        cases.append((len(out) + 1, "hyphen", plain, None, None))
+                        out.append(" ".join([*line, word[:3] + "-"]))
+                        begun = 1
+                        line = [word[3:]]
+                    else:
+                        out.append(" ".join([*line, word]))
+                        line = []
+                    if rnd.random() < 0.2:
+                        out.append(str(rnd.randrange(99)))
+                        cases.append((len(out), "page_number", "", None, None))
+                else:
+                    line.append(word)
+            if line:
+                out.append(" ".join(line))
+        clean = scanned.reassemble("\n".join(out), cases).split()
+        assert clean == [w for p in paragraphs for w in p]
+
+
+def test_line_model_learns_from_order():
+    rnd = random.Random(3)
+    header = "Stratified Symmetries"
+    look = lines.looks([header, "the estimator shrinks towards its limit"], lambda key: False, True)[0]
+    assert look[0] != lines.PLAIN_LOOK == look[1]
+    page = lambda top: (1, np.array([look[0]] * top + [0] * 9 + [lines.MARKED]), np.zeros((top + 10, 4), np.int64))
+    model = lines.LineModel.prior().fit([page(int(rnd.random() < 0.8)) for _ in range(300)])
+    assert model.labels([look[0], *[0] * 9, lines.MARKED], True) == "h" + "b" * 9 + "n"
+    assert np.allclose(np.exp(model.step).sum(-1), 1) and np.allclose(np.exp(model.begin).sum(-1), 1)
+    assert np.exp(model.begin[1][lines.H]) > 0.5
+    assert lines.LineModel.prior().fit([]).labels([0, 0], False) == "bb"
+
+
+def test_breaks_by_layout():
+    body = ["It follows that the summary stabilises the experiment,", "so the comparison has to be made with care.", "Here the quadratic regulariser governs the simulation and", "every slope."]
+    assert lines.LineModel.prior().breaks(body) == [True, False, True, False]
+    assert lines.LineModel.prior().breaks([]) == []
