@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import regex
 
@@ -10,7 +12,7 @@ NUMBERED = regex.compile(r"^\s*(?:[0-9lIO|]{1,5}|[ivxlc]{1,7})\s{3,}(?P<t>\S.*)$
 CHAPTER = regex.compile(r"^\s*\w{2,3}[.,|]?.?\s?[0-9lIO|]{1,3}\s[·.~^|]\s")
 HEADING = regex.compile(r"^\s*(?:§\s?)?(?:[0-9]+(?:[.][0-9]+)*|[A-Z](?:[.][0-9]+)+)[.:]?\s\p{L}")
 _PARTED = regex.compile(r"\s[—–|·]\s")
-_PLAIN = regex.compile(r"(?:^|\s)[a-zß-ÿ]\w{3,}.*?\s[a-zß-ÿ]\w{3,}")
+_PLAIN = re.compile(r"(?:^|\s)[a-zß-ÿ]\w{3,}.*?\s[a-zß-ÿ]\w{3,}")
 _LETTERS = regex.compile(r"[^\p{L} ]+")
 _DIGITS = str.maketrans("lIOoSB|", "1100581")
 #: Characters of the longest page number that _NUMBER can match, blanks at the ends aside.
@@ -120,7 +122,7 @@ def looks(lines: list[str], known, whole_page: bool) -> tuple[list[int], dict[in
 
 def starts(lines: list[str]) -> list[tuple[int, int, int, int]]:
     """What tells whether each of a text's body lines begins a paragraph: how the line before it ends (0 none, 1 a
-    sentence's end well before the margin, 2 a sentence's end, 3 neither), its first character (0 lower case, 1 upper, 2
+    heading, a formula, or a sentence's end well before the margin, 2 a sentence's end, 3 neither), its first character (0 lower case, 1 upper, 2
     digit, 3 other), whether it is indented, and whether it or the one before is a heading or formula."""
     width = max((len(x.rstrip()) for x in lines), default=0)
     out, before, was = [], 0, 0
@@ -130,7 +132,7 @@ def starts(lines: list[str]) -> list[tuple[int, int, int, int]]:
         alone = int(sum(map(str.isalpha, text)) < 0.4 * len(text) or HEADING.match(line) is not None)
         out.append((before, 0 if first.islower() else 1 if first.isupper() else 2 if first.isdigit() else 3, int(line[:1] in " \t"), was * 2 + alone))
         ended = text[-1:] in ".?!" or text[-2:] in ('."', ".”", ".)", "?”", "!”")
-        before, was = (1 if len(line.rstrip()) < 0.85 * width else 2) if ended else 3, alone
+        before, was = (1 if alone or len(line.rstrip()) < 0.85 * width else 2) if ended or alone else 3, alone
     return out
 
 

@@ -17,7 +17,7 @@ from corpusloom.llm.lines import CHAPTER, NUMBERED, LineModel, header_keys, look
 from corpusloom.plans import cut, lookup_join, spread
 
 #: Bits a key in the filters that are sent to all tasks, and the most bits of a filter, whatever the size of the corpus.
-BITS_A_KEY, FILTER_BITS = 16, 1 << 28
+BITS_A_KEY, FILTER_BITS = 128, 1 << 28
 #: Pages on which a header must stand; how much commoner an intended word must be than its misreading, and how common.
 REPEATED, COMMONER, KNOWN = 3, 20, 8
 #: Distinct words gathered by a task before it hands its counts on.
@@ -41,8 +41,9 @@ _NOISE = ".^~|·_*'`,:-¸¨˙°"
 
 
 def _in(bits: np.ndarray, key: str) -> bool:
-    h = xxhash.xxh64_intdigest(key) & (len(bits) * 8 - 1)
-    return bool(bits[h >> 3] >> (h & 7) & 1)
+    h, last = xxhash.xxh64_intdigest(key), len(bits) * 8 - 1
+    a, b = h & last, h >> 32 & last
+    return bool(bits[a >> 3] >> (a & 7) & 1 and bits[b >> 3] >> (b & 7) & 1)
 
 
 def label_lines(lines: list[str], model: LineModel, bits: np.ndarray | None, whole_page: bool) -> tuple[str, dict[int, tuple[int, bool]]]:
@@ -196,7 +197,7 @@ def _bits(keys: DataFrame) -> np.ndarray:
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            h = np.fromiter((xxhash.xxh64_intdigest(k) & (size - 1) for k in b["key"]), np.int64, len(b))
+            h = np.fromiter((spot & (size - 1) for k in b["key"] for h in (xxhash.xxh64_intdigest(k),) for spot in (h, h >> 32)), np.int64, 2 * len(b))
             yield pd.DataFrame({"w": h >> 6, "b": np.left_shift(np.int64(1), h & 63)})
 
     rows = keys.mapInPandas(hashed, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
@@ -229,20 +230,20 @@ def _cases(rows: DataFrame, bits: np.ndarray, model: LineModel) -> DataFrame:
     """Everything in each row that may be a case: (table_name, row_id, page_id, line_no, kind, a, b, value, token).
 
     A header that is one only by its keys has them in a; what its line holds if it is none has the value -1. A misread
-    word has its forms that pass the filter in a and b and its place in the line in token.
+    word has its forms that pass the filter in a and its place in the line in token.
     """
     sent = rows.sparkSession.sparkContext.broadcast((bits, model))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         (bits, model), sound = sent.value, set()
 
-        def misread(begin: int, line_words: list[str]) -> Iterator[tuple[str, str, int]]:
+        def misread(begin: int, line_words: list[str]) -> Iterator[tuple[str, int]]:
             for k, t in enumerate(line_words, begin):
                 if t in sound:
                     continue
                 hits = [w for w in _variants(t) if w and _in(bits, "m " + w)]
                 if hits:
-                    yield hits[0], hits[-1] if len(hits) > 1 else "", k
+                    yield "\n".join(hits), k
                 else:
                     if len(sound) > GATHERED:
                         sound.clear()
@@ -268,11 +269,11 @@ def _cases(rows: DataFrame, bits: np.ndarray, model: LineModel) -> DataFrame:
                         out.append((*at, k + 1, "number", "r" if bare[k][1] else "", "", bare[k][0], None))
                 words, broken = _words(lines, labels, bare)
                 for k, begin, line_words in words:
-                    out.extend((*at, k + 1, "misread", a, b, None, t) for a, b, t in misread(begin, line_words))
+                    out.extend((*at, k + 1, "misread", forms, "", None, t) for forms, t in misread(begin, line_words))
                 out.extend((*at, k + 1, "hyphen", a, z, None, None) for k, a, z in broken)
                 if hits:
                     words, broken = _words(lines, alone, bare)
-                    out.extend((*at, k + 1, "misread", a, b, -1, t) for k, begin, line_words in words if k in hits for a, b, t in misread(begin, line_words))
+                    out.extend((*at, k + 1, "misread", forms, "", -1, t) for k, begin, line_words in words if k in hits for forms, t in misread(begin, line_words))
                     out.extend((*at, k + 1, "hyphen", a, z, -1, None) for k, a, z in broken if k in hits)
             frame = pd.DataFrame(out, columns=["table_name", "row_id", "page_id", "line_no", "kind", "a", "b", "value", "token"])
             yield frame.astype({"value": "Int64", "token": "Int64"})
@@ -320,20 +321,18 @@ def damage(pages: DataFrame, paragraphs: DataFrame) -> tuple[DataFrame, LineMode
 
     votes = seen.where("kind = 'o'").select(F.split("key", "\t")[0].cast("long").alias("book"), F.split("key", "\t")[1].cast("int").alias("offset"), "n")
     usual = votes.groupBy("offset").agg(F.sum("n").alias("n")).agg(F.max_by("offset", F.struct("n", "offset")).alias("usual"))
-    by_book = votes.groupBy("book").agg(F.max_by("offset", F.struct("n", "offset")).alias("offset"), F.max("n").alias("n")).where("n >= 3").select("book", "offset")
+    by_book = cut(votes.groupBy("book").agg(F.max_by("offset", F.struct("n", "offset")).alias("offset"), F.max("n").alias("n")).where("n >= 3").select("book", "offset"))
     numbers = cases.where("kind = 'number'")
     where = lookup_join(p.select(F.col("id").alias("page_id"), "book", "page").distinct(), by_book, "book").join(F.broadcast(usual))
     where = where.groupBy("page_id").agg(F.max(F.struct("page", F.coalesce("offset", "usual").alias("offset"))).alias("p")).select("page_id", "p.page", "p.offset")
     own = F.when(F.col("a") == "r", (F.col("value") == F.col("page")) & (F.col("page") <= F.col("offset"))).otherwise(F.col("value") == F.col("page") - F.col("offset"))
     bare = numbers.join(where, "page_id").where(own).select("table_name", "row_id", "line_no", F.lit("page_number").alias("kind"), F.lit("").alias("word"))
 
-    # a form that only the filter takes for misread gives way to the other one
-    spotted = inside.where("kind = 'misread'").select(*line, "token", F.col("a").alias("form"), "b")
-    first = lookup_join(spotted, fixes.select(F.col("word").alias("form"), "intended"), "form")
-    second = first.where("intended is null and b <> ''").select(*line, "token", F.col("b").alias("form"))
-    second = lookup_join(second, fixes.select(F.col("word").alias("form"), "intended"), "form", "inner")
-    misread = first.where("intended is not null").select(*line, "token", "form", "intended").unionByName(second.select(*line, "token", "form", "intended"))
-    misread = misread.select(*line, F.lit("misread").alias("kind"), F.col("intended").alias("word"), "token", "form")
+    # of a word's forms the first that is in truth misread counts, not the first that the filter lets through
+    spotted = inside.where("kind = 'misread'").select(*line, "token", F.posexplode(F.split("a", "\n")).alias("place", "form"))
+    misread = lookup_join(spotted, fixes.select(F.col("word").alias("form"), "intended"), "form", "inner")
+    misread = misread.groupBy(*line, "token").agg(F.min(F.struct("place", "form", "intended")).alias("w"))
+    misread = misread.select(*line, F.lit("misread").alias("kind"), F.col("w.intended").alias("word"), "token", "w.form")
 
     split = inside.where("kind = 'hyphen'")
     pairs = split.select("a", "b").distinct()
@@ -343,7 +342,7 @@ def damage(pages: DataFrame, paragraphs: DataFrame) -> tuple[DataFrame, LineMode
     best = counted.groupBy("a", "b").agg(F.max(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("intended").isNotNull().alias("fixed"), "closed", F.coalesce("intended", "word").alias("word"))).alias("w"))
     best = best.join(alone, "b", "left").where("w.n > 0 or w.fixed or alone is null").select("a", "b", F.when(F.col("w.n") > 0, F.col("w.word")).otherwise(F.when(F.col("w.fixed"), F.col("w.word")).otherwise(F.concat("a", "b"))).alias("word"))
     pair = F.concat_ws("\n", "a", "b")
-    hyphen = lookup_join(split.withColumn("pair", pair), best.select(pair.alias("pair"), "word"), "pair", "inner").select("table_name", "row_id", "line_no", "kind", "word")
+    hyphen = lookup_join(split.withColumn("pair", pair), cut(best.select(pair.alias("pair"), "word")), "pair", "inner").select("table_name", "row_id", "line_no", "kind", "word")
     whole = plain.unionByName(bare).unionByName(hyphen).withColumns({"token": F.lit(None).cast("int"), "form": F.lit(None).cast("string")})
     return whole.unionByName(misread), model
 
