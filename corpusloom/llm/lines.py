@@ -43,8 +43,6 @@ def roman(text: str) -> int:
 
 def page_number(line: str) -> tuple[bool, int, bool] | None:
     """(marked as a page number by its form, value, roman) of a line that is only a number, else None."""
-    if len(line) > _LONGEST_NUMBER and len(line.strip()) > _LONGEST_NUMBER:
-        return None
     m = _NUMBER.match(line)
     if not m:
         return None
@@ -106,7 +104,7 @@ def looks(lines: list[str], known, whole_page: bool) -> tuple[list[int], dict[in
     last = len(lines) - 2
     out, bare, numbered = [], {}, False
     for k, line in enumerate(lines):
-        n = page_number(line)
+        n = page_number(line) if len(line) <= _LONGEST_NUMBER or line[0].isspace() or line[-1].isspace() else None
         if n:
             out.append(MARKED if n[0] else BARE)
             if not n[0]:

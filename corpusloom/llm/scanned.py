@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -75,8 +75,7 @@ def _words(lines: list[str], labels: str, bare: dict) -> tuple[list[tuple[int, i
         tokens = line.split()
         begin, end = int(skip), len(tokens)
         skip = False
-        last = line.rstrip()[-1:]
-        if last in "-–¬­" and n + 1 < len(body) and (m := _BROKEN.search(line)) and (f := _FIRST.match(lines[body[n + 1]])):
+        if tokens[-1][-1] in "-–¬­" and n + 1 < len(body) and (m := _BROKEN.search(tokens[-1])) and (f := _FIRST.match(lines[body[n + 1]])):
             second = f[1].strip(_AROUND).rstrip("-–—").lower()
             first = m[1].lower().lstrip("-'’(")
             if second and not f[1][0].isupper() | f[1][0].isdigit() and first:
@@ -118,8 +117,7 @@ def _gather(rows: DataFrame) -> DataFrame:
                 lines = text.split("\n")
                 labels, bare = label_lines(lines, model, None, whole_page) if len(lines) > 1 else ("b", {})
                 words, broken = _words(lines, labels, bare)
-                for _, _, t in words:
-                    tokens.update(t)
+                tokens.update(chain.from_iterable(t for _, _, t in words))
                 joined.update(a + z for _, a, z in broken)
             if len(tokens) + len(joined) > GATHERED:
                 yield from flush()
