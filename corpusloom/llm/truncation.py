@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,13 +18,20 @@ from corpusloom.plans import cut, lookup_join, spread
 
 #: Lengths of the final contexts, in characters, longest first.
 ORDERS = (24, 16, 11, 7, 4)
-#: Bits of the filter that passes the contexts asked for, whatever their number.
-FILTER_BITS = 1 << 25
+#: Bits a context in the filter that passes the contexts asked for; most bits of one filter. More contexts take more passes.
+BITS_A_CONTEXT, FILTER_BITS = 16, 1 << 28
 #: Weight, in occurrences, of the next shorter context in the estimate for a longer one; chance of an end anywhere.
 BACKOFF, ANYWHERE = 3.0, 1 / 110
-#: Log-odds (against the end) beyond which a text counts as cut: after a full stop, after another mark, after none.
-#: Where a source leaves most of its texts without a full stop, its lack says less, and the last is raised, to TOP at most.
-THRESHOLDS, TOP = {"stop": 9.5, "mark": -3.0, "none": 0.8}, 6.8
+#: Characters of texts laid out at once by a task.
+SLICE = 1_000_000
+#: Width of the bins of odds in which thresholds are fitted, the odds they reach to, rounds of the fit at most.
+BIN, REACH, ROUNDS = 0.5, 40, 200
+#: Odds below which the model alone settles that a text ends, by its end mark: where it ends likelier than not, or, in
+#: spite of a comma or ellipsis, almost surely (as after a formula that often ends texts).
+ENDS = {"none": 0.0, "mark": -5.0}
+#: Share of cut texts among those of an end mark before any text is seen, and the texts that it counts for; the texts that
+#: a column's odds count for in those of one of its languages.
+SHARES, PRIOR, POOLED = {"stop": 0.0005, "mark": 0.7, "none": 0.3}, 5.0, 100.0
 
 _MARKS = regex.compile(r"[\s.…,;:\-–—¬~�]+$")
 _STOPPED = regex.compile(r"(?<!\.)[.!?]['\"”’»)\]]*$|[。！？]$")
@@ -67,8 +75,25 @@ def mark_of(text: str) -> str:
     return "mark" if _MARKED.search(text) else "stop" if _STOPPED.search(text) else "none"
 
 
+# Common little words by language.
+LITTLE = {
+    "en": "the of and to in is that it for as with by on are this be an or from which not at".split(),
+    "de": "der die das und ist nicht ein eine von zu mit den dem des sich auf für als auch werden".split(),
+    "fr": "le la les et des est une un du dans que qui pour par sur pas sont au aux ne".split(),
+    "es": "el la los las y de que en un una es por con para se del al no su como".split(),
+}
+_SPEAKS = {w: tuple(n for n, some in LITTLE.items() if w in some) for some in LITTLE.values() for w in some}
+
+
 def language_of(text: str) -> str:
-    """The script of the last letter."""
+    """The language whose little words are the most in a text, the first of LITTLE among equals; else the script of its
+    last letter."""
+    votes: dict[str, int] = {}
+    for w in text.split():
+        for n in _SPEAKS.get(w, ()):
+            votes[n] = votes.get(n, 0) + 1
+    if votes:
+        return max(LITTLE, key=lambda n: votes.get(n, 0))
     return next((script(c) for c in reversed(text) if c.isalpha()), "")
 
 
@@ -89,16 +114,53 @@ def _layout(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, ends, kind
 
 
+_ODD = 0xBF58476D1CE4E5B9
+_UNDO = pow(_ODD, -1, 1 << 64)
+_powers: list[np.ndarray] = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse, kept for the next call."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_ODD, _UNDO)):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            with np.errstate(over="ignore"):
+                _powers[k] = np.cumprod(steps, dtype=np.uint64)
+    return _powers[0][:n], _powers[1][:n]
+
+
 def _hashes(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(k, hashes): of the ``ORDERS[k]`` characters before each position, shortest first; sums of mixed characters."""
+    """(k, hashes): of the ``ORDERS[k]`` characters before each position, shortest first.
+
+    One running sum of mixed characters times powers of an odd base gives the windows of every length by a difference,
+    set to the same place by a power of the inverse.
+    """
+    up, down = _power(len(codes) + 1)
     with np.errstate(over="ignore"):
         c = (codes.astype(np.uint64) + np.uint64(1)) * _MIX
         c ^= c >> np.uint64(29)
         sums = np.zeros(len(codes) + 1, np.uint64)
-        for d in range(ORDERS[0]):
-            sums[d + 1 :] += c[: len(c) - d] * np.uint64(pow(0xBF58476D1CE4E5B9, d + 1, 1 << 64))
-            if d + 1 in ORDERS:
-                yield ORDERS.index(d + 1), (sums ^ (sums >> np.uint64(31))) + np.uint64(d)
+        np.cumsum(c * up[:-1], dtype=np.uint64, out=sums[1:])
+        for k in reversed(range(len(ORDERS))):
+            d = ORDERS[k]
+            h = sums.copy()
+            h[d:] -= sums[:-d]
+            h *= down
+            yield k, ((h ^ (h >> np.uint64(31))) * _MIX) + np.uint64(d)
+
+
+def _slices(texts: list[str]) -> Iterator[list[str]]:
+    """Texts in lists of about ``SLICE`` characters; a longer text is a list of its own."""
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t) > SLICE:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t) + ORDERS[0]
+    if part:
+        yield part
 
 
 def _final_contexts(rows: DataFrame) -> DataFrame:
@@ -112,7 +174,7 @@ def _final_contexts(rows: DataFrame) -> DataFrame:
             bodies = [end_of(t) for t in forms]
             codes, ends, kind = _layout([t[max(0, len(e) - ORDERS[0]) :] for t, e in zip(forms, bodies)])  # only the last characters tell
             out = b[["table_name", "row_id", "source"]].copy()
-            out["mark"], out["language"] = [mark_of(t) for t in texts], [language_of(t) for t in texts]
+            out["mark"], out["language"] = [mark_of(t) for t in texts], [language_of(t) for t in forms]
             out["body"] = np.fromiter(map(xxhash.xxh64_intdigest, bodies), np.uint64, len(forms)).view(np.int64)
             out["plain"], out["own"] = forms, kind[ends].astype(np.int32)
             for k, h in _hashes(codes):
@@ -122,19 +184,28 @@ def _final_contexts(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "table_name string, row_id long, source string, mark string, language string, body long, plain string, own int, " + ", ".join(f"h{k} long" for k in range(len(ORDERS))))
 
 
-def _filter(contexts: DataFrame) -> np.ndarray:
-    """The bits of all final contexts: at most FILTER_BITS / 64 numbers come to the driver, whatever their number."""
-    h = contexts.select(F.explode(F.array(*(f"h{k}" for k in range(len(ORDERS))))).alias("h")).distinct()
-    slot = F.col("h").bitwiseAND(FILTER_BITS - 1)
+def _filter(contexts: DataFrame, bits: int, part: int, parts: int) -> np.ndarray:
+    """The bits of the final contexts of one part: at most FILTER_BITS / 64 numbers come to the driver."""
+    h = contexts.where(F.pmod("h", F.lit(parts)) == part)
+    slot = F.shiftrightunsigned("h", 20).bitwiseAND(bits - 1)
     words = h.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))).alias("bits")).toPandas()
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    bits[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return bits.view(np.uint64)
+    out = np.zeros(bits // 64, np.int64)
+    out[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def _all_counts(texts: DataFrame, contexts: DataFrame) -> DataFrame:
+    """:func:`_counts` of all contexts (h), in as many passes over the texts as their filters need."""
+    n = contexts.count()
+    parts = -(-n * BITS_A_CONTEXT // FILTER_BITS) or 1
+    bits = 1 << min(max(n // parts * BITS_A_CONTEXT, 1 << 20).bit_length(), FILTER_BITS.bit_length() - 1)
+    return reduce(DataFrame.unionByName, [_counts(texts, _filter(contexts, bits, k, parts), k, parts) for k in range(parts)])
 
 
-def _counts(texts: DataFrame, bits: np.ndarray) -> DataFrame:
+def _counts(texts: DataFrame, bits: np.ndarray, part: int = 0, parts: int = 1) -> DataFrame:
     """(h, ended, went_on, stopped) of the contexts in the filter, over every position of every text in its plain form."""
     sent = texts.sparkSession.sparkContext.broadcast(bits)
+    size = np.uint64(len(bits) * 64 - 1)
 
     def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         found, where = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
@@ -143,20 +214,26 @@ def _counts(texts: DataFrame, bits: np.ndarray) -> DataFrame:
         return found, table
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        got: list[tuple[np.ndarray, np.ndarray]] = []
         for b in batches:
-            codes, _, kind = _layout(b["plain"].tolist())
-            for _, h in _hashes(codes):
-                word = sent.value[(h & np.uint64(FILTER_BITS - 1)) >> np.uint64(6)]
-                pick = np.flatnonzero(((word >> (h & np.uint64(63))) & np.uint64(1)).astype(bool) & (kind < 3))
-                found, where = np.unique(h[pick], return_inverse=True)
-                parts.append((found, np.bincount(where * 3 + kind[pick], minlength=3 * len(found)).reshape(-1, 3)))
-            if sum(len(h) for h, _ in parts) > 1_000_000:
-                parts = [merged(parts)]
-                if len(parts[0][0]) > 500_000:
-                    yield _frame(*parts.pop())
-        if parts:
-            yield _frame(*merged(parts))
+            for some in _slices(b["plain"].tolist()):
+                codes, _, kind = _layout(some)
+                for _, h in _hashes(codes):
+                    slot = (h >> np.uint64(20)) & size
+                    word = sent.value[slot >> np.uint64(6)]
+                    pick = np.flatnonzero(((word >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool) & (kind < 3))
+                    h = h[pick]
+                    if parts > 1:
+                        mine = h.view(np.int64) % parts == part
+                        h, pick = h[mine], pick[mine]
+                    found, where = np.unique(h, return_inverse=True)
+                    got.append((found, np.bincount(where * 3 + kind[pick], minlength=3 * len(found)).reshape(-1, 3)))
+                if sum(len(h) for h, _ in got) > 1_000_000:
+                    got = [merged(got)]
+                    if len(got[0][0]) > 500_000:
+                        yield _frame(*got.pop())
+        if got:
+            yield _frame(*merged(got))
 
     out = texts.select("plain").mapInPandas(run, "h long, ended long, went_on long, stopped long")
     return out.groupBy("h").agg(*(F.sum(c).alias(c) for c in ("ended", "went_on", "stopped")))
@@ -173,8 +250,9 @@ def scored(rows: DataFrame) -> DataFrame:
     a text (marks at its end left out), how often it stands before a full stop, before more text and at a bare end
     anywhere in the corpus, the text's own end left out. Texts that differ at most by the marks at their ends count
     once, however many rows they stand in, so that copies of a cut text don't vouch for its end. The estimates run from the shortest context to the longest,
-    each a weight of ``BACKOFF`` occurrences in the next. Two passes: the contexts asked for become a bit filter of
-    fixed size, then all positions of all texts are counted that pass it. Null and blank texts are left out.
+    each a weight of ``BACKOFF`` occurrences in the next. Two passes: the contexts asked for become a bit filter sized by
+    their number, then all positions of all texts are counted that pass it; where one filter of FILTER_BITS can't hold
+    them, they are parted by their hash, and each part is a pass. Null and blank texts are left out.
     """
     rows = rows.where(F.col("text").rlike("[\\p{L}\\p{N}]"))
     finals = cut(_final_contexts(rows))
@@ -182,7 +260,8 @@ def scored(rows: DataFrame) -> DataFrame:
     one = F.min(F.struct("plain", "own", *names)).alias("t")
     texts = cut(finals.groupBy("body").agg(one).select("body", "t.*"))
     contexts = texts.select(*names).distinct()
-    counts = _counts(spread(texts.select("plain")), _filter(texts))
+    asked = cut(contexts.select(F.explode(F.array(*names)).alias("h")).distinct())
+    counts = _all_counts(spread(texts.select("plain")), asked)
     long = contexts.select("h0", F.posexplode(F.array(*names)).alias("k", "h")).join(counts, "h", "left")
     per = long.groupBy("h0").agg(*(F.max(F.when(F.col("k") == k, F.struct(*(F.coalesce(c, F.lit(0)).alias(c) for c in ("ended", "went_on", "stopped"))))).alias(f"c{k}") for k in range(len(ORDERS))))
     for own, name in ((0, "odds_ended"), (2, "odds_stopped")):
@@ -199,21 +278,103 @@ def scored(rows: DataFrame) -> DataFrame:
     return lookup_join(finals.select("table_name", "row_id", "source", "mark", "language", "body"), found, "body", "inner")
 
 
+def _posterior(ratio: np.ndarray, share: float) -> np.ndarray:
+    return ratio * share / (ratio * share + 1 - share)
+
+
+def _share(ratio: np.ndarray, n: np.ndarray, prior: float) -> float:
+    """The share of cut texts under which texts with these likelihood ratios are likeliest, by expectation and maximisation."""
+    share = prior
+    for _ in range(ROUNDS):
+        new = float(np.clip(((_posterior(ratio, share) * n).sum() + PRIOR * prior) / (n.sum() + PRIOR), 1e-7, 1 - 1e-7))
+        if abs(new - share) < 1e-8:
+            break
+        share = new
+    return share
+
+
+def _rising(top: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """top / below, made to rise by pooling neighbours that don't."""
+    pools: list[list[float]] = []
+    for t, b in zip(top, below):
+        pools.append([t, b, 1])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            t, b, n = pools.pop()
+            pools[-1] = [pools[-1][0] + t, pools[-1][1] + b, pools[-1][2] + n]
+    return np.concatenate([np.full(int(n), t / b) for t, b, n in pools])
+
+
+def _ratios(whole: np.ndarray, mixed: np.ndarray, mark: str, start: np.ndarray | None = None) -> np.ndarray:
+    """By bin of odds, how much likelier they are in cut texts than in whole ones.
+
+    ``whole`` counts the odds of texts that are known to end, ``mixed`` those of others, cut ones among them. What the cut
+    ones look like, and how many they are, is found by expectation and maximisation; the ratio rises with the odds.
+    """
+    odds = np.arange(len(whole)) * BIN - REACH
+    p = (whole + 1 / len(whole)) / (whole.sum() + 1)
+    ratio = np.exp(odds / 2) if start is None else start
+    mixed = np.where(odds < ENDS[mark], 0, mixed)
+    for _ in range(ROUNDS):
+        cut_ = _posterior(ratio, _share(ratio, mixed, SHARES[mark])) * mixed
+        if cut_.sum() < 1:
+            break
+        new = np.maximum(_rising((cut_ + 1 / len(whole) ** 2) / (cut_.sum() + 1), p), 1e-6)
+        if np.abs(np.log(new) - np.log(ratio)).max() < 1e-3:
+            break
+        ratio = new
+    return np.where(odds < ENDS[mark], 1e-6, ratio)
+
+
+def fit_thresholds(scores: DataFrame) -> DataFrame:
+    """(table_name, language, source, mark, bound) from texts scored once each: the odds beyond which a text is cut.
+
+    Texts that end with a full stop, or as the model says surely, show what the odds are at a known end; against them the
+    odds of the other texts show what those of cut ones are, for each column, language and end mark (a language of few
+    texts leans on its column). The share of cut texts is then fitted for each column, language, source and end mark, and the bound is where the chances are even.
+    Only counts by bins of odds are gathered: some hundred numbers for each language or group.
+    """
+    group = ["table_name", "language", "source", "mark"]
+    last = int(2 * REACH / BIN)
+    bin_ = F.greatest(F.lit(0), F.least(F.lit(last), F.round((F.col("odds") + REACH) / BIN).cast("int")))
+    binned = cut(scores.groupBy(*group, bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n")))
+    # languages and scripts are few, whatever the corpus
+    rows = binned.groupBy("table_name", "language", "mark", "bin").agg(F.sum("n").alias("n")).toPandas()
+    ratios: dict[tuple[str, str, str], np.ndarray] = {}
+    sure = {m: np.arange(last + 1) * BIN - REACH < end for m, end in ENDS.items()}
+
+    def known(g: pd.DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        n = {m: np.bincount(x["bin"], x["n"], last + 1) for m, x in g.groupby("mark")}
+        none, stop, mark = (n.get(m, np.zeros(last + 1)) for m in ("none", "stop", "mark"))
+        return {"none": (stop + none * sure["none"], none), "mark": (mark * sure["mark"], mark)}
+
+    for table, t in rows.groupby("table_name"):
+        column = {m: (whole, _ratios(whole, mixed, m)) for m, (whole, mixed) in known(t).items()}
+        for language, g in t.groupby("language"):
+            for m, (whole, mixed) in known(g).items():
+                lent, ratio = column[m]
+                fitted = _ratios(whole + POOLED * lent / max(lent.sum(), 1), mixed, m, ratio) if mixed.sum() >= POOLED else ratio
+                ratios[table, language, m] = fitted
+    sent = scores.sparkSession.sparkContext.broadcast(ratios)
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        ratio = sent.value[key[0], key[1], "mark" if key[3] == "mark" else "none"]
+        share = _share(ratio[g["bin"]], g["n"].to_numpy(float), SHARES[key[3]])
+        over = np.flatnonzero(ratio * share > 1 - share)
+        bound = (over[0] if len(over) else last + 1) * BIN - REACH - BIN / 2
+        return pd.DataFrame({**{c: [k] for c, k in zip(group, key)}, "bound": [float(bound)]})
+
+    return binned.groupBy(*group).applyInPandas(run, "table_name string, language string, source string, mark string, bound double")
+
+
 def truncated(rows: DataFrame) -> DataFrame:
-    """The rows of :func:`scored` with a column cut, by thresholds per table, language, source and end mark.
+    """The rows of :func:`scored` with a column cut, by thresholds fitted per table, language, source and end mark.
 
-    In a group of table, language and source, a text without a full stop is the less remarkable the more of them there
-    are: the threshold rises with their log-odds, in which copies count once. Repeated rows stay repeated.
+    In the fit copies of a text count once. Repeated rows stay repeated.
     """
     s = cut(scored(rows))
-    group = ["table_name", "language", "source"]
-    share = s.select(*group, "body", "mark").distinct().groupBy(*group).agg(F.sum((F.col("mark") == "none").cast("int")).alias("bare"), F.count(F.lit(1)).alias("n"))
-    lift = F.greatest(F.lit(0.0), F.log((F.col("bare") + 0.5) / (F.col("n") - F.col("bare") + 0.5)))
-    bare = F.least(F.lit(TOP), THRESHOLDS["none"] + lift)
-    few = share.select(*group, bare.alias("bare"))
+    group = ["table_name", "language", "source", "mark"]
+    bounds = cut(fit_thresholds(s.select(*group, "body", "odds").distinct()))
     on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in group]
-    # a row per table, script and source: broadcast while that is small, else left to the optimiser
-    few = F.broadcast(few) if few.limit(100_001).count() <= 100_000 else few
-    s = s.alias("a").join(few.alias("b"), on, "left").select("a.*", "bare")
-    bound = F.when(F.col("mark") == "stop", THRESHOLDS["stop"]).when(F.col("mark") == "mark", THRESHOLDS["mark"]).otherwise(F.col("bare"))
-    return s.withColumn("cut", F.col("odds") > bound).drop("bare", "body")
+    # a row per table, language, source and mark: broadcast while that is small, else left to the optimiser
+    bounds = F.broadcast(bounds) if bounds.limit(100_001).count() <= 100_000 else bounds
+    return s.alias("a").join(bounds.alias("b"), on, "left").select("a.*", (F.col("odds") > F.col("bound")).alias("cut")).drop("body")
