@@ -66,6 +66,10 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return p9_leaks(spark, sf).select("doc_id", "item_id").distinct()
 
 
+def p9_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.removal_spans(p9_leaks(spark, sf))
+
+
 def p7_scored(spark: SparkSession, sf: str) -> DataFrame:
     parts = [
         read(spark, sf, table).select(F.lit(table).alias("table_name"), F.col("id").alias("row_id"), "source", F.col(field).alias("text"))
@@ -85,7 +89,7 @@ def p7_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 def _severity(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents").select("doc_id", "source", "text")
-    model = harmful.train(*harmful.graded_texts(docs, read(spark, sf, "doc_labels")))
+    model = harmful.train(spark, *harmful.graded_texts(docs, read(spark, sf, "doc_labels")))
     return harmful.severity(spread(docs), model)
 
 
@@ -122,7 +126,7 @@ def p1_text(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found, "p3_survivors": p3_survivors, "p4_found": p4_found, "p4_copies": p4_copies,
     "p5_found": p5_found, "p5_canonical": p5_canonical, "p8_ids": p8_ids,
-    "p9_found": p9_found, "p9_leaks": p9_leaks,
+    "p9_found": p9_found, "p9_leaks": p9_leaks, "p9_spans": p9_spans,
     "p7_found": p7_found, "p7_rates": p7_rates,
     "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates,
     "p1_found": p1_found,

@@ -8,13 +8,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.lookalike import _LATIN, _plain_form
 
-#: Most labelled texts that the model is fitted on: of more, those whose hashed ids are smallest.
-LABELLED = 4_000
+#: Most labelled texts that the model is fitted on, and their characters together: of more, those whose hashed ids are smallest.
+LABELLED, LABELLED_CHARS = 4_000, 40_000_000
+#: Characters of texts whose features a task holds at once.
+SLICE = 4_000_000
 #: Longer sentences are read in overlapping pieces of so many words.
 PIECE = 12
 #: Weights are kept for so many hashed features.
@@ -35,28 +38,37 @@ _SIGNS, _LETTERS = "@4310$5!7|8€", "aaeiossitlbe"
 _LEET = str.maketrans(_SIGNS, _LETTERS)
 
 
-def _tokens(sentence: str) -> list[str]:
-    sentence = _DOTTED.sub(lambda m: regex.sub(r"[.*_\-·]", "", m[0]), sentence)
-    sentence = _SPACED.sub(lambda m: m[0].replace(" ", ""), sentence)
-    out = []
-    for word in _TOKEN.findall(sentence):
-        if word.isdigit():
-            out.append("0")
-            continue
-        if not word.isalpha():
-            letters = sum(c.isalpha() for c in word)
-            if letters:
-                word = word.translate(_LEET) if len(word) > 2 else word
-        out.append(_RUN.sub(r"\1", word))
-    return out
+def _word(word: str) -> str:
+    """A word in the form that its feature is made of: numbers as one, signs for letters and drawled letters undone."""
+    if word.isdigit():
+        return "0"
+    if not word.isalpha() and len(word) > 2 and any(c.isalpha() for c in word):
+        word = word.translate(_LEET)
+    return _RUN.sub(r"\1", word)
 
 
-def sentences(text: str) -> list[list[str]]:
-    """The words of each sentence or piece of one, with case, look-alikes, signs for letters, dots between letters and drawled letters undone."""
-    plain = "".join(_LATIN.get(c, _plain_form(c)[0]) if ord(c) > 127 else c for c in unicodedata.normalize("NFC", text)) if not text.isascii() else text
+class _Plain(dict):
+    """Characters to their plain form, filled as they are met."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = got = _LATIN.get(chr(code), _plain_form(chr(code))[0]) if code > 127 else chr(code)
+        return got
+
+
+_PLAIN = _Plain()
+
+
+def raw_sentences(text: str) -> list[list[str]]:
+    """The words of each sentence or piece of one, with case, look-alikes and dots or blanks between letters undone."""
+    plain = (text if text.isascii() else unicodedata.normalize("NFC", text).translate(_PLAIN)).casefold()
+    dotted, spaced = _DOTTED.search(plain) is not None, _SPACED.search(plain) is not None
     out = []
-    for s in _SPLIT.split(plain.casefold()):
-        words = _tokens(s) if s else []
+    for s in _SPLIT.split(plain):
+        if dotted:
+            s = _DOTTED.sub(lambda m: regex.sub(r"[.*_\-·]", "", m[0]), s)
+        if spaced:
+            s = _SPACED.sub(lambda m: m[0].replace(" ", ""), s)
+        words = _TOKEN.findall(s)
         while len(words) > PIECE + PIECE // 2:
             out.append(words[:PIECE])
             words = words[PIECE // 2 :]
@@ -65,6 +77,11 @@ def sentences(text: str) -> list[list[str]]:
     return out
 
 
+def sentences(text: str) -> list[list[str]]:
+    """:func:`raw_sentences` with signs for letters and drawled letters undone."""
+    return [[_word(w) for w in s] for s in raw_sentences(text)]
+
+
 class Hasher:
     """Sentences to hashed features: words and pairs of neighbouring words."""
 
@@ -77,17 +94,20 @@ class Hasher:
             if len(self.known) > 500_000:
                 self.known.clear()
             h = 1469598103934665603
-            for b in w.encode("utf-8", "replace"):
+            for b in _word(w).encode("utf-8", "replace"):
                 h = ((h ^ b) * 1099511628211) & 0xFFFFFFFFFFFFFFFF
             self.known[w] = h
         return h
 
     def features(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(features, sentence of each, text of each sentence)."""
-        words, ends, of = [], [], []
+        words, ends, of, known = [], [], [], self.known
         for k, text in enumerate(texts):
-            for s in sentences(text):
-                words.extend(map(self.word, s))
+            for s in raw_sentences(text):
+                try:
+                    words += [known[w] for w in s]
+                except KeyError:
+                    words += map(self.word, s)
                 ends.append(len(words))
                 of.append(k)
         h = np.array(words, np.uint64)
@@ -177,37 +197,87 @@ def text_scores(model: Ordinal, f: np.ndarray, s: np.ndarray, of: np.ndarray, te
     return best
 
 
-def train(texts: list[str], grades: np.ndarray) -> Ordinal:
+def _folds(spark: SparkSession, data: tuple, grades: np.ndarray, trust: np.ndarray, folds: list[int | None], rounds: int) -> dict[int | None, Ordinal]:
+    """A model for each fold, fitted on the texts outside it (None: on all), each in a task of its own."""
+    sent = spark.sparkContext.broadcast((data, grades, trust))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        (f, s, of), grades, trust = sent.value
+        for b in batches:
+            for k in b["id"].tolist():
+                learn = trust if folds[k] is None else np.where(np.arange(len(grades)) % FOLDS == folds[k], 0.0, trust)
+                model = _fit_bags(f, s, of, grades, learn, rounds=rounds)
+                at = np.flatnonzero(model.w)
+                yield pd.DataFrame({"fold": [k], "at": [at.astype(np.int32).tobytes()], "w": [model.w[at].tobytes()], "bounds": [model.bounds.tobytes()]})
+
+    rows = spark.range(0, len(folds), 1, len(folds)).mapInPandas(run, "fold int, at binary, w binary, bounds binary").collect()
+    sent.unpersist()
+    out = {}
+    for r in rows:
+        model = Ordinal()
+        model.w[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["w"])
+        model.bounds = np.frombuffer(r["bounds"]).copy()
+        out[folds[r["fold"]]] = model
+    return out
+
+
+def train(spark: SparkSession, texts: list[str], grades: np.ndarray) -> Ordinal:
     """Fits the model on graded texts whose raters err.
 
     At first every sentence bears its text's grade, with less weight in longer texts; then, in turn, only the worst
     sentence of each text with a grade above 0 does, and all sentences of the others bear grade 0. Labels are then
     judged by models that have not seen them: a text counts by how likely its grade is there, and all is fitted anew.
+    The models of the folds are fitted in tasks, side by side. A model is kept for the session and the same texts.
     """
-    f, s, of = Hasher().features(texts)
+    key = (spark.sparkContext.applicationId, xxhash.xxh64_hexdigest("\0".join(texts).encode("utf-8", "replace") + grades.tobytes()))
+    if key in _fitted:
+        return _fitted[key]
+    f, s, of = data = Hasher().features(texts)
     if not len(of):
         return Ordinal()
     fold = np.arange(len(texts)) % FOLDS
     trust = np.ones(len(texts))
     for _ in range(2):
         seen = np.empty(len(texts))
-        for k in range(FOLDS):
-            learn = np.where(fold == k, 0.0, trust)
-            model = _fit_bags(f, s, of, grades, learn)
+        for k, model in _folds(spark, data, grades, trust, list(range(FOLDS)), ROUNDS).items():
             mine = fold == k
             seen[mine] = model.expected(text_scores(model, f, s, of, len(texts)))[mine] / 2
         trust = np.where(grades > 0, np.clip(seen / 0.4, 0.02, 1.0), np.clip((1 - seen) / 0.6, 0.02, 1.0))
-    return _fit_bags(f, s, of, grades, trust, rounds=ROUNDS + 1)
+    _fitted.clear()
+    _fitted[key] = _folds(spark, data, grades, trust, [None], ROUNDS + 1)[None]
+    return _fitted[key]
+
 
+_fitted: dict[tuple[str, str], Ordinal] = {}
 
-def graded_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", bad: str = "harmful", bound: int = LABELLED) -> tuple[list[str], np.ndarray]:
-    """Labelled texts with grades: 0 if no rater objects, 2 if all do, 1 if they differ. Null labels say nothing."""
+
+def graded_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", bad: str = "harmful", bound: int = LABELLED, chars: int = LABELLED_CHARS) -> tuple[list[str], np.ndarray]:
+    """Labelled texts with grades: 0 if no rater objects, 2 if all do, 1 if they differ. Null labels say nothing.
+
+    At most ``bound`` texts of ``chars`` characters in all, in the order of their hashed ids; texts are taken whole.
+    """
     votes = labels.where(f"{label_col} is not null and {id_col} is not null").distinct().groupBy(id_col).agg(F.avg((F.col(label_col) == bad).cast("double")).alias("share"))
     chosen = votes.orderBy(F.xxhash64(id_col), id_col).limit(bound)
-    rows = docs.select(id_col, text_col).where(F.col(text_col).isNotNull()).join(chosen, id_col).orderBy(F.xxhash64(id_col), id_col).collect()
+    rows = docs.select(id_col, text_col).where(F.col(text_col).isNotNull()).join(chosen, id_col)
+    # at most ``bound`` rows are left here, so one task may add them up
+    so_far = F.sum(F.length(text_col)).over(Window.orderBy(F.xxhash64(id_col), id_col))
+    rows = rows.withColumn("__c", so_far).where(F.col("__c") <= chars).orderBy(F.xxhash64(id_col), id_col).collect()
     return [r[text_col] for r in rows], np.array([0 if r["share"] == 0 else 2 if r["share"] == 1 else 1 for r in rows])
 
 
+def _slices(texts: list[str]) -> Iterator[list[str]]:
+    """Texts in lists of about ``SLICE`` characters; a longer text is a list of its own."""
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t) > SLICE:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
+
+
 def severity(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
     """``docs`` without the text, with severity: the expected grade (0 to 2) of each text's worst sentence.
 
@@ -221,8 +291,7 @@ def severity(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFra
         own.w, own.bounds = sent.value
         for batch in batches:
             texts = batch[text_col].fillna("").tolist()
-            f, s, of = hasher.features(texts)
-            scores = text_scores(own, f, s, of, len(texts))
+            scores = np.concatenate([np.empty(0), *(text_scores(own, *hasher.features(part), len(part)) for part in _slices(texts))])
             out = batch[keep].copy()
             out["severity"] = np.where(scores > -10, own.expected(scores), 0.0)
             yield out

@@ -142,11 +142,41 @@ def test_leaks(spark):
     for shard in (40, 400_000):
         got = leaks.leaks(df, q, shard=shard, block=90)
         assert {(r.doc_id, r.item_id) for r in got.collect()} == {(1, 0), (2, 2), (4, 1), (8, 4)}
-    spans = {r.doc_id: (r.first_word, r.last_word) for r in got.collect()}
-    assert spans[1] == (50, 89) and spans[2] == (30, 54)
+    spans = {r.doc_id: [tuple(p) for p in r.pieces] for r in got.collect()}
+    assert spans[1] == [(50, 89)] and spans[2] == [(30, 54)]
     assert leaks.leaks(df.limit(0), q).collect() == [] and leaks.leaks(df, q.limit(0)).collect() == []
 
 
+def test_leaks_in_distant_pieces(spark):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    item, other = [word() for _ in range(16)], [word() for _ in range(30)]
+    noise = lambda n: [word() for _ in range(n)]
+    docs = [
+        (1, item[:7] + noise(200) + item[8:15]),  # two pieces far apart add up
+        (2, item[8:15] + noise(200) + item[:7]),  # not in the item's order: the longer piece alone is too short
+        (3, item[:3] + noise(90) + item[5:8] + noise(90) + item[10:13]),  # short phrases don't
+        (4, item + noise(5) + other + noise(300) + item[:9]),
+    ]
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in docs], "doc_id long, text string")
+    q = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(other)), (3, " ".join(item[2:14]))], "item_id long, text string")
+    for sent in (40, 10_000_000):
+        got = leaks.leaks(df, q, sent_chars=sent).collect()
+        found = {(r.doc_id, r.item_id): [tuple(p) for p in r.pieces] for r in got}
+        assert {k for k in found if k[1] == 1} == {(1, 1), (4, 1)} and (4, 2) in found
+        assert found[1, 1] == [(0, 6), (207, 213)]
+    spans = leaks.removal_spans(leaks.leaks(df, q)).where("doc_id = 4").orderBy("first").collect()
+    assert (spans[0]["first"], spans[0]["last"]) == (0, 15) and (21, 50) in {(r["first"], r["last"]) for r in spans}
+    assert leaks.removal_spans(leaks.leaks(df.limit(0), q)).collect() == []
+
+
+def test_leaks_in_scripts_without_spaces(spark):
+    text = "在高维情形下估计量的方差随样本量增大而减小"
+    df = spark.createDataFrame([(1, "甲乙丙" + text + "丁戊"), (2, "方差随样本"), (3, "完全不同的句子没有任何关系可言")], "doc_id long, text string")
+    q = spark.createDataFrame([(5, text)], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in leaks.leaks(df, q).collect()] == [(1, 5)]
+
+
 # Problem 7
 
 
@@ -189,7 +219,7 @@ def test_ordinal_model(spark):
         rnd.shuffle(parts)
         texts.append(". ".join(parts) + ".")
         grades.append(2 * (harm if rnd.random() > 0.08 else not harm))
-    model = harmful.train(texts, np.array(grades))
+    model = harmful.train(spark, texts, np.array(grades))
     df = spark.createDataFrame([(1, "x. " + bad[0] + "!", "s"), (2, calm[0] + ".", "s"), (3, None, "s"), (4, "", None)], "doc_id long, text string, source string")
     got = {r.doc_id: r.severity for r in harmful.severity(df, model).collect()}
     assert got[1] > harmful.SEVERE > 0.5 > got[2] and got[3] == got[4] == 0.0
@@ -199,7 +229,7 @@ def test_ordinal_model(spark):
 def test_model_without_labels(spark):
     docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, "r", None)], "doc_id long, rater string, label string")
-    model = harmful.train(*harmful.graded_texts(docs, labels))
+    model = harmful.train(spark, *harmful.graded_texts(docs, labels))
     assert harmful.severity(docs, model).count() == 1
 
 
