@@ -30,6 +30,13 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return p3_survivors(spark, sf).select("first_id", "field", "concept_id")
 
 
+def p3_discovered(spark: SparkSession, sf: str) -> DataFrame:
+    """The surviving values where no source is trusted beforehand, by truth discovery."""
+    groups = cut(concept_groups(spark, sf).where("copies > 1"))
+    sections = read(spark, sf, "sections").select("id")
+    return survivor.survivors(read(spark, sf, "concepts"), groups, ["description", "category", "section_id"], valid={"section_id": sections})[0]
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return concept_groups(spark, sf).where("id <> first_id").select("first_id", F.col("id").alias("concept_id"))
 
@@ -38,6 +45,16 @@ def p4_copies(spark: SparkSession, sf: str) -> DataFrame:
     return concept_groups(spark, sf).where("id = first_id").select("first_id", "copies")
 
 
+#: Fields of a record of concepts that say what it describes.
+RECORD = ("name", "category", "subcategory")
+
+
+def p4_records(spark: SparkSession, sf: str) -> DataFrame:
+    concepts = read(spark, sf, "concepts").select("id", *RECORD)
+    pairs = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in RECORD))
+    return formatting.same_records(concepts, pairs)
+
+
 TEXTS = (("concepts", "name"), ("paragraphs", "text"), ("concept_facts", "fact_text"))
 
 
@@ -124,7 +141,7 @@ def p1_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "p3_found": p3_found, "p3_survivors": p3_survivors, "p4_found": p4_found, "p4_copies": p4_copies,
+    "p3_found": p3_found, "p3_survivors": p3_survivors, "p3_discovered": p3_discovered, "p4_found": p4_found, "p4_copies": p4_copies, "p4_records": p4_records,
     "p5_found": p5_found, "p5_canonical": p5_canonical, "p8_ids": p8_ids,
     "p9_found": p9_found, "p9_leaks": p9_leaks, "p9_spans": p9_spans,
     "p7_found": p7_found, "p7_rates": p7_rates,
