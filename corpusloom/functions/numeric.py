@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -134,6 +134,50 @@ def best_subsets(gram: np.ndarray, cross: np.ndarray, total: float) -> list[tupl
     return [(k, m, r) for k, (r, m) in sorted(best.items())]
 
 
+def mse(bias2: Column, variance: Column) -> Column:
+    return bias2 + variance
+
+
+def argmin(x: str, y: str) -> Column:
+    """The x of the smallest y, the smallest x among equals."""
+    return F.min(F.struct(F.col(y).alias("y"), F.col(x).alias("x")))["x"]
+
+
+def ellipse(x: str, y: str) -> Column:
+    """struct(major, minor, angle): the axes of the covariance of two columns, as eigenvalues, and the major one's angle."""
+    a, b, c = F.var_pop(x), F.var_pop(y), F.covar_pop(x, y)
+    mid, root = (a + b) / 2, F.sqrt(((a - b) / 2) ** 2 + c * c)
+    return F.struct((mid + root).alias("major"), (mid - root).alias("minor"), (F.atan2(2 * c, a - b) / 2).alias("angle"))
+
+
+def product(a: DataFrame, b: DataFrame, rank: int | None = None) -> DataFrame:
+    """(i, j, v): the product of matrices as cells (i, k, v) and (k, j, v), of their first ``rank`` inner places only."""
+    a = a if rank is None else a.where(F.col("k") < rank)
+    cells = a.select("i", "k", F.col("v").alias("__a")).join(b.select("k", "j", F.col("v").alias("__b")), "k")
+    return cells.groupBy("i", "j").agg(F.sum(F.col("__a") * F.col("__b")).alias("v"))
+
+
+def deviation(a: DataFrame, b: DataFrame, at: list[str]) -> DataFrame:
+    """(frobenius, sup): the norms of the difference of two tables of v by place; a place that one lacks counts as 0 there."""
+    both = a.withColumnRenamed("v", "__a").join(b.withColumnRenamed("v", "__b"), at, "full")
+    gap = F.coalesce("__a", F.lit(0.0)) - F.coalesce("__b", F.lit(0.0))
+    return both.agg(F.sqrt(F.sum(gap * gap)).alias("frobenius"), F.max(F.abs(gap)).alias("sup"))
+
+
+def interpolate(knots: DataFrame, at: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """``at`` with y on the lines between the knots of its key (one per x); beyond the outer knots, the outer one's y.
+
+    One union and two windows over key and place, so that no pair is made; null without knots."""
+    both = knots.select(*by, x, F.struct(F.col(x).alias("x"), F.col(y).alias("y")).alias("__k")).withColumn("__q", F.lit(0)).unionByName(at.select(*by, x).withColumn("__q", F.lit(1)), allowMissingColumns=True)
+    w = Window.partitionBy(*by).orderBy(x, "__q")
+    lo = F.last("__k", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    hi = F.first("__k", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    got = both.withColumns({"__lo": lo, "__hi": hi}).where("__q = 1")
+    line = F.col("__lo.y") + (F.col("__hi.y") - F.col("__lo.y")) * (F.col(x) - F.col("__lo.x")) / (F.col("__hi.x") - F.col("__lo.x"))
+    value = F.when(F.col("__lo.x") == F.col(x), F.col("__lo.y")).when(F.col("__lo").isNull(), F.col("__hi.y")).when(F.col("__hi").isNull(), F.col("__lo.y")).otherwise(line)
+    return got.select(*by, x, value.alias(y))
+
+
 def hashed_normal(key: Column, seed: int = 0) -> Column:
     """A standard normal draw that depends on the key and seed only, whatever the partitions (Box-Muller)."""
     unit = lambda s: (F.pmod(F.xxhash64(key, F.lit(seed), F.lit(s)), F.lit(1 << 52)) + 0.5) / float(1 << 52)

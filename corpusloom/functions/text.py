@@ -41,6 +41,11 @@ def chapter_number(c: Column) -> Column:
     return chapter_of(c).try_cast("int")
 
 
+def natural_key(c: Column) -> Column:
+    """A dotted number as an array that sorts by its numbers, so that 1.10 follows 1.9; other components come first."""
+    return F.transform(F.split(c, r"\."), lambda x: F.coalesce(x.try_cast("bigint"), F.lit(-1)))
+
+
 def bold(flags: Column) -> Column:
     return flags.bitwiseAND(16) != 0
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,12 +116,13 @@ def first_seen(terms: DataFrame, term: str, order: list[str]) -> DataFrame:
     return first_per(terms.withColumn("__l", F.lower(term)), ["__l"], order).drop("__l")
 
 
-def dominant(spans: Column, value: str, weight: Column | None = None) -> Column:
+def dominant(spans: Column, value: str, weight: Callable[[Column], Column] | None = None) -> Column:
     """The value of the spans with the most characters, the first seen among equals (K1, K2); null without spans.
+    ``weight`` gives another measure of a span, such as its length without white space at the ends.
 
     ``spans`` is an array of structs with text and ``value``. Computed within the row, without a shuffle.
     """
-    size = lambda x: F.length(x["text"])
+    size = (lambda x: F.length(x["text"])) if weight is None else weight
     values = F.array_distinct(F.transform(spans, lambda x: x[value]))
     scored = F.transform(values, lambda v, i: F.struct(F.aggregate(F.filter(spans, lambda x: x[value] == v), F.lit(0), lambda a, x: a + size(x)).alias("n"), (-i).alias("o"), v.alias("v")))
     return F.array_max(scored)["v"]

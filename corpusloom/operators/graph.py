@@ -65,6 +65,23 @@ def search(nodes: DataFrame, edges: DataFrame, text: str) -> DataFrame:
     return hits.withColumn("hit", F.lit(True)).unionByName(near).groupBy("id").agg(F.max("hit").alias("hit"))
 
 
+def by_group(reached: DataFrame, groups: DataFrame) -> DataFrame:
+    """(grp, n, least, deepest): what a trace reached, by the group (id, grp) of each node; null for nodes without one."""
+    return reached.join(groups, "id", "left").groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("depth").alias("least"), F.max("depth").alias("deepest"))
+
+
+def group_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(grp, n): the groups of ``nodes`` (id, grp) that have a node with an edge, with the number of such nodes."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return nodes.where("grp is not null").join(ends, "id", "left_semi").groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+
+
+def sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(nodes, edges): how many there are."""
+    n, e = nodes.agg(F.count(F.lit(1)).alias("nodes")), edges.agg(F.count(F.lit(1)).alias("edges"))
+    return n.join(F.broadcast(e), F.lit(True))  # one row each
+
+
 def grid(nodes: DataFrame, group: str, order: list, width: int = 8, gap: int = 100) -> DataFrame:
     """``nodes`` with x and y on a grid per group, in order."""
     from pyspark.sql import Window

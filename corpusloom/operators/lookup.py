@@ -60,17 +60,32 @@ def with_fallback(first: DataFrame, second: DataFrame, key: str, row: str, enoug
 def quote_home(quotes: DataFrame, texts: DataFrame, quote: str, text: str, order: str, shortest: int = 20, opening: int = 60) -> DataFrame:
     """Each quote with the first text, by ``order``, that holds its opening.
 
-    An equi-join on the words of the text and the second word of the opening, which is whole in any text that holds
-    it, then the exact test. Quotes of one word have no second word and are left out, as are those below ``shortest``.
+    An equi-join on the rarest of the words that stand whole in the opening (its first and last may be cut, unless the
+    quote is no longer than that), so that common words make few pairs, then the exact test. Openings in which no word
+    is sure to be whole, of two words or fewer, are looked for in all texts, a stated set of short ones. Quotes below
+    ``shortest`` characters are left out, nulls too.
     """
-    word = lambda c: F.split(c, r"\s+")
-    q = quotes.where(F.length(quote) >= shortest).withColumn("__n", clip(F.col(quote), opening))
-    q = q.withColumn("__w", F.get(word(F.col("__n")), 1)).where((F.col("__w") != "") & (F.size(word(F.col("__n"))) > 2))
-    t = texts.select(text, order, F.explode(F.array_distinct(word(F.col(text)))).alias("__w"))
-    hits = q.join(t, "__w").where(F.contains(F.col(text), F.col("__n")))
+    word = lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")
+    q = quotes.where(F.length(quote) >= shortest).withColumn("__n", clip(F.col(quote), opening)).withColumn("__ws", word(F.col("__n")))
+    inner = q.where(F.size("__ws") > 2).select("*", F.explode(F.array_distinct(F.slice("__ws", F.lit(2), F.size("__ws") - 2))).alias("__w"))
+    t = texts.where(F.col(text).isNotNull()).select(text, order, F.explode(F.array_distinct(word(F.col(text)))).alias("__w"))
+    often = t.groupBy("__w").agg(F.count(F.lit(1)).alias("__c"))
+    rarest = inner.join(often, "__w", "left").groupBy(*quotes.columns, "__n").agg(F.min(F.struct(F.coalesce("__c", F.lit(0)).alias("c"), "__w"))["__w"].alias("__w"))
+    hits = rarest.join(t, "__w").where(F.contains(F.col(text), F.col("__n"))).select(*quotes.columns, order)
+    short = q.where(F.size("__ws") <= 2).select(*quotes.columns, "__n")
+    rest = texts.where(F.col(text).isNotNull()).select(text, order).join(F.broadcast(short), F.contains(F.col(text), F.col("__n"))) if not short.isEmpty() else None
+    hits = hits if rest is None else hits.unionByName(rest.select(*quotes.columns, order))
     return hits.groupBy(*quotes.columns).agg(F.min(order).alias("home"))
 
 
+def containing(texts: DataFrame, names: list[str], text: str, order: list[str], limit: int = 20) -> DataFrame:
+    """(name, the columns of ``order``): for each of the stated names the first ``limit`` texts that hold it, whatever the
+    case, by ``order`` (total). One pass over the texts; at most ``limit`` rows a name and task reach the ranking."""
+    asked = F.array(*(F.lit(n) for n in sorted(set(names))))
+    hits = texts.select(*order, F.explode(F.filter(asked, lambda n: F.contains(F.lower(text), F.lower(n)))).alias("name"))
+    return top_k(hits, ["name"], [F.col(c) for c in order], limit)
+
+
 def by_id_or_name(rows: DataFrame, table: DataFrame, row_id: str, row_name: str, value: str) -> DataFrame:
     """``rows`` with the value of the table's row of the same id, else of the same name whatever its case."""
     ids = table.select(F.col("id").alias(row_id), F.col(value).alias("__by_id"))

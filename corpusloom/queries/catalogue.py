@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.queries import integrity, reference
+from corpusloom.queries import integrity, pipeline, reference
 
-QUERIES = {**integrity.QUERIES, **reference.QUERIES}
-ORACLE = {**integrity.ORACLE, **reference.ORACLE}
+QUERIES = {**integrity.QUERIES, **reference.QUERIES, **pipeline.QUERIES}
+ORACLE = {**integrity.ORACLE, **reference.ORACLE, **pipeline.ORACLE}

@@ -48,7 +48,7 @@ k AS (SELECT doc_id, line_no, text, t, CASE WHEN t = '' THEN 'narrative' WHEN re
     AND (len(list_filter(regexp_split_to_array(regexp_replace(t, '^\d+(\.\d+)*\s+', ''), '\s+'), lambda x: x <> '')) >= 2 OR length(regexp_replace(t, '^\d+(\.\d+)*\s+', '')) >= 8) THEN 'section_header'
   WHEN regexp_matches(t, '(?i)^definition([^A-Za-z0-9_]|$)|is defined as([^A-Za-z0-9_]|$)|we define([^A-Za-z0-9_]|$)') THEN 'definition'
   WHEN {_ENV('Theorem')} THEN 'theorem' WHEN {_ENV('Lemma')} THEN 'lemma' WHEN {_ENV('Corollary')} THEN 'corollary' WHEN regexp_matches(t, '^Proof\.?(\s|$)') THEN 'proof'
-  WHEN {_ENV('Example')} THEN 'example' WHEN {_ENV('(Exercise|Ex\.)')} THEN 'exercise'
+  WHEN {_ENV('Example')} THEN 'example' WHEN {_ENV('(Exercise|Ex[.])')} THEN 'exercise'
   WHEN length(t) < 80 AND length(replace(t, ' ', '')) > 0 AND length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) * 10 < length(replace(t, ' ', '')) * 3 THEN 'equation' ELSE 'narrative' END "type" FROM y)"""
 
 
@@ -69,13 +69,13 @@ def classify_lines_by_lang(s, d):
     return rows.groupBy("lang", classify.paragraph_type(F.col("text")).alias("type")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {_LINES}, b AS (SELECT *, count(*) OVER (PARTITION BY doc_id) n FROM l) SELECT count(*)::bigint n FROM b WHERE line_no >= n * 0.9 AND (regexp_matches(text, '^\\[\\d+\\]') OR regexp_matches(text, '^[A-Z][a-z]+,?\\s.*\\(\\d{{4}}\\)'))""")
+@query(f"""WITH {_TYPED}, b AS (SELECT doc_id, "type", line_no, count(*) OVER (PARTITION BY doc_id) n, t FROM k) SELECT doc_id, count(*)::bigint n FROM b WHERE "type" = 'narrative' AND t <> '' AND line_no >= n * 0.9 AND (regexp_matches(t, '^\\[\\d+\\]') OR regexp_matches(t, '^[A-Z][a-z]+,?\\s.*\\(\\d{{4}}\\)')) GROUP BY 1""")
 def bibliography_tail_lines(s, d):
     docs = T(s, d, "documents").select("doc_id", "text")
     kept = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"\S"))
-    rows = docs.select(F.size(kept).alias("n"), F.posexplode(kept).alias("line_no", "text"))
-    hit = F.col("text").rlike(r"^\[\d+\]") | F.col("text").rlike(r"^[A-Z][a-z]+,?\s.*\(\d{4}\)")
-    return rows.where((F.col("line_no") >= F.col("n") * 0.9) & hit).agg(F.count(F.lit(1)).alias("n"))
+    rows = docs.select("doc_id", F.size(kept).alias("n"), F.posexplode(kept).alias("line_no", "text"))
+    kind = classify.paragraph_type(F.col("text"), page=F.col("line_no"), pages=F.col("n"))
+    return rows.where(kind == "bibliography").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
@@ -128,14 +128,26 @@ def quoted_or_cascade_term(s, d):
     return docs.select("doc_id", extract.defined_term(F.col("text")).alias("term")).where("term is not null")
 
 
-@query()
+@query("""WITH r AS (SELECT DISTINCT id, text FROM paragraphs WHERE regexp_matches(text, '^(Theorem|Lemma|Corollary)')), m AS (SELECT id, text, regexp_extract(text, '(?i)^(theorem|lemma|corollary)\\s+(\\d+(?:\\.\\d+)*)(?:\\s*\\(([^)]+)\\))?', ['k', 'n', 't']) x FROM r)
+SELECT id, CASE WHEN x.k <> '' THEN x.k || ' ' || x.n || CASE WHEN x.t <> '' THEN ' (' || x.t || ')' ELSE '' END ELSE trim(string_split(text, chr(10))[1]) END AS name FROM m""")
 def theorem_names(s, d):
     rows = T(s, d, "paragraphs").select("id", "text").distinct().where(F.col("text").rlike("^(Theorem|Lemma|Corollary)"))
     return rows.select("id", extract.theorem_name(F.col("text")).alias("name"))
 
 
-@query()
+_LOOSE = f"""trim(regexp_replace(regexp_replace(lower(trim(regexp_replace(regexp_replace(replace(replace(regexp_replace(name, '^{_BLANKS}|{_BLANKS}$', '', 'g'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), '\\.+$', ''), '{_BLANKS}', ' ', 'g'))), '["''`,:;!?(){{}}\\[\\]]', '', 'g'), '[-‐–—−]+', '-', 'g'))"""
+
+
+@query(f"""WITH c AS (SELECT DISTINCT id, name FROM concepts), k AS (SELECT id, name, {_LOOSE} loose FROM c) SELECT id, loose, CASE WHEN length(loose) > 4 AND ends_with(loose, 's') AND NOT ends_with(loose, 'ss') THEN loose[:-2] ELSE loose END singular,
+CASE WHEN length(translate(loose, '- ', '')) >= 3 THEN translate(loose, '- ', '') END bare FROM k WHERE name IS NULL OR NOT regexp_matches(name, '[^ -~]')""")
 def name_keys(s, d):
+    n = T(s, d, "concepts").select("id", "name").distinct().where("name is null or not name rlike '[^ -~]'")
+    loose = text.name_loose(F.col("name"))
+    return n.select("id", loose.alias("loose"), text.singular(loose).alias("singular"), text.bare_name(F.col("name")).alias("bare"))
+
+
+@query()
+def name_forms(s, d):
     n = T(s, d, "concepts").select("id", "name").distinct()
     c = F.col("name")
     return n.select("id", text.name_loose(c).alias("loose"), text.name_strict(c).alias("strict"), text.singular(text.name_loose(c)).alias("singular"), text.bare_name(c).alias("bare"), text.without_label(c).alias("unlabelled"), text.lower_first(c).alias("lowered"))
@@ -171,7 +183,7 @@ def verbatim_slice(s, d):
     return c.select("id", text.between(F.col("description"), "the ", " of ").alias("piece")).where("piece is not null")
 
 
-@query()
+@query("""WITH q AS (SELECT DISTINCT id, quote FROM concepts WHERE length(quote) >= 20), p AS (SELECT DISTINCT id paragraph_id, translate(text, chr(10), ' ') text FROM paragraphs WHERE text IS NOT NULL) SELECT q.id, min(paragraph_id) home FROM q JOIN p ON contains(text, substring(quote, 1, 60)) GROUP BY q.id, quote""")
 def quote_prefix_lookup(s, d):
     q = T(s, d, "concepts").select("id", "quote").distinct().where("quote is not null")
     p = T(s, d, "paragraphs").select(F.col("id").alias("paragraph_id"), F.translate("text", "\n", " ").alias("text")).distinct().where("text is not null")
@@ -271,14 +283,9 @@ def mode_with_ties(s, d):
     return report.mode(T(s, d, "events"), ["user_id"], "event_type")
 
 
-@query("""SELECT concept_id, to_json(list({'id': id, 'type': fact_type} ORDER BY importance_rank NULLS FIRST, id))::varchar items FROM (SELECT DISTINCT concept_id, id, coalesce(fact_type, '') fact_type, importance_rank FROM concept_facts WHERE concept_id <> 1) GROUP BY 1""")
+@query("""WITH f AS (SELECT DISTINCT concept_id, id, coalesce(fact_type, '') fact_type, importance_rank FROM concept_facts), c AS (SELECT *, (row_number() OVER (PARTITION BY concept_id ORDER BY importance_rank NULLS FIRST, id, fact_type) - 1) // 1000 + 1 chunk FROM f)
+SELECT concept_id, chunk::bigint chunk, to_json(list({'id': id, 'type': fact_type} ORDER BY importance_rank NULLS FIRST, id, fact_type))::varchar items FROM c GROUP BY 1, 2""")
 def nested_facts_json(s, d):
-    f = T(s, d, "concept_facts").select("concept_id", "id", F.coalesce("fact_type", F.lit("")).alias("type"), "importance_rank").distinct().where("concept_id <> 1")
-    return report.nested(f, ["concept_id"], [F.col("importance_rank"), F.col("id")], id=F.col("id"), type=F.col("type"))
-
-
-@query()
-def nested_facts_chunks(s, d):
     f = T(s, d, "concept_facts").select("concept_id", "id", F.coalesce("fact_type", F.lit("")).alias("type"), "importance_rank").distinct()
     return report.nested_chunks(f, ["concept_id"], [F.col("importance_rank"), F.col("id"), F.col("type")], id=F.col("id"), type=F.col("type"))
 
@@ -299,8 +306,11 @@ def info_report(s, d):
 
 
 def _concept_list(s, d):
-    c = T(s, d, "concepts").where("deleted_at is null and description is not null").select(F.col("id").alias("ord"), "name", F.col("section_id").cast("string").alias("section"), "description")
-    return extract.first_seen(c, "name", ["ord"])
+    """Concepts by the last word of their name, the part of it that texts mention, with the number of their section."""
+    numbers = T(s, d, "sections").where("number is not null").groupBy(F.col("id").alias("section_id")).agg(F.min("number").alias("section"))
+    c = T(s, d, "concepts").where("deleted_at is null and description is not null").join(numbers, "section_id", "left")
+    term = F.lower(F.regexp_extract("name", "([A-Za-z]+)[^A-Za-z]*$", 1))
+    return c.select(F.col("id").alias("ord"), term.alias("name"), "section", "description").where("name <> ''").distinct()
 
 
 @query("""WITH n AS (SELECT DISTINCT subcategory name FROM concepts WHERE subcategory IS NOT NULL) SELECT doc_id, name FROM documents JOIN n ON contains(lower(text), lower(name)) AND regexp_matches(text, '(?i)(^|[^\\p{L}\\p{N}_])' || name || '([^\\p{L}\\p{N}_]|$)')""")
@@ -357,13 +367,13 @@ def name_similarity_pairs(s, d):
     return resolve.contained(T(s, d, "concepts").select("name"))
 
 
-@query("""WITH m AS (SELECT p_partkey id, min(p_partkey) OVER (PARTITION BY lower(p_name || ' ' || p_brand || ' ' || p_size)) c FROM part) SELECT m.c l_partkey, l_suppkey, l_returnflag, min(l_orderkey) l_orderkey FROM lineitem JOIN m ON m.id = l_partkey WHERE m.c <> l_suppkey GROUP BY 1, 2, 3""")
+@query("""WITH c AS (SELECT DISTINCT id, name FROM concepts WHERE name IS NOT NULL), m AS (SELECT id, min(id) OVER (PARTITION BY lower(name)) c FROM c), e AS (SELECT coalesce(a.c, source_id) source_id, coalesce(b.c, target_id) target_id, relationship_type, e.id FROM concept_relationships e LEFT JOIN m a ON a.id = source_id LEFT JOIN m b ON b.id = target_id)
+SELECT source_id, target_id, relationship_type, min(id) id FROM e WHERE source_id <> target_id GROUP BY 1, 2, 3""")
 def edges_repoint(s, d):
-    _, g = part_groups(s, d)
-    e = T(s, d, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag", "l_orderkey")
-    m = g.select("id", F.col("component").alias("canonical"))
-    e = e.join(m.withColumnRenamed("id", "l_partkey"), "l_partkey").select(F.col("canonical").alias("l_partkey"), "l_suppkey", "l_returnflag", "l_orderkey")
-    return resolve.repoint(e, m.limit(0), ["l_partkey", "l_suppkey"], ["l_returnflag"], "l_orderkey")
+    c = T(s, d, "concepts").select("id", F.lower("name").alias("key")).where("key is not null").distinct()
+    g = resolve.components(resolve.key_links(c, {"name": F.col("key")}), c.select("id"))
+    e = T(s, d, "concept_relationships").select("source_id", "target_id", "relationship_type", "id")
+    return resolve.repoint(e, g.select("id", F.col("component").alias("canonical")), ["source_id", "target_id"], ["relationship_type"])
 
 
 @query("SELECT p_partkey, ((row_number() OVER (ORDER BY p_partkey) - 1) // 96 + 1)::bigint batch FROM part")
@@ -477,13 +487,20 @@ def stagewise_path(s, d):
     return s.createDataFrame([(k, j, float(b)) for k, row in enumerate(path) for j, b in enumerate(row)], "step int, variable int, beta double")
 
 
-@query()
+@query("""WITH m AS (SELECT count(*) n, var_pop(l_quantity) a, covar_pop(l_quantity, l_discount) b, covar_pop(l_quantity, l_tax) c, var_pop(l_discount) d, covar_pop(l_discount, l_tax) e, var_pop(l_tax) f, covar_pop(l_quantity, l_extendedprice) p, covar_pop(l_discount, l_extendedprice) q, covar_pop(l_tax, l_extendedprice) r, var_pop(l_extendedprice) y FROM lineitem),
+s AS (SELECT 0 size, 0 mask, y * n rss FROM m UNION ALL SELECT 1, 1, (y - p * p / a) * n FROM m UNION ALL SELECT 1, 2, (y - q * q / d) * n FROM m UNION ALL SELECT 1, 4, (y - r * r / f) * n FROM m
+UNION ALL SELECT 2, 3, (y - (p * p * d - 2 * p * q * b + q * q * a) / (a * d - b * b)) * n FROM m UNION ALL SELECT 2, 5, (y - (p * p * f - 2 * p * r * c + r * r * a) / (a * f - c * c)) * n FROM m UNION ALL SELECT 2, 6, (y - (q * q * f - 2 * q * r * e + r * r * d) / (d * f - e * e)) * n FROM m
+UNION ALL SELECT 3, 7, (y - (p * p * (d * f - e * e) + q * q * (a * f - c * c) + r * r * (a * d - b * b) + 2 * p * q * (c * e - b * f) + 2 * p * r * (b * e - c * d) + 2 * q * r * (b * c - a * e)) / (a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d))) * n FROM m)
+SELECT size::int size, arg_min(mask, rss)::int mask, round(min(rss) / 1e6, 2) rss FROM s GROUP BY size""")
 def best_subsets(s, d):
     gram, cross, total, n = numeric.moments(T(s, d, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
-    return s.createDataFrame([(k, m, round(r, 2)) for k, m, r in numeric.best_subsets(gram, cross, total)], "size int, mask int, rss double")
+    return s.createDataFrame([(k, m, round(r / 1e6, 2)) for k, m, r in numeric.best_subsets(gram, cross, total)], "size int, mask int, rss double")
 
 
-@query()
+@query("""WITH l0 AS (SELECT doc_id, string_split(text, chr(10)) a FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, unnest(a) text, generate_subscripts(a, 1) - 1 line_no FROM l0),
+b AS (SELECT *, sum((trim(text, ' ') = '')::int) OVER (PARTITION BY doc_id ORDER BY line_no) block FROM l), k AS (SELECT *, row_number() OVER w n, first_value(trim(text, ' ')) OVER w "group" FROM b WHERE trim(text, ' ') <> '' AND NOT starts_with(ltrim(text, ' '), '#') WINDOW w AS (PARTITION BY doc_id, block ORDER BY line_no)),
+t AS (SELECT doc_id, block, max(CASE WHEN n = 2 THEN trim(text, ' ') END) topic FROM k GROUP BY ALL)
+SELECT doc_id, block::bigint block, "group", topic, trim(string_split(text, '#')[1], ' ') item, CASE WHEN contains(text, '#') THEN trim(substring(text, instr(text, '#') + 1), ' ') END note FROM k JOIN t USING (doc_id, block) WHERE n > 2""")
 def list_blocks(s, d):
     rows = T(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
     return ingest.blocks(rows)

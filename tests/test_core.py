@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import classify, numeric, text
-from corpusloom.operators import batch, extract, graph, lookup, merge, relate, report, resolve
+from corpusloom.plans import lookup_join
+from corpusloom.operators import batch, extract, graph, integrate, lookup, merge, relate, report, resolve
 from corpusloom.sources import ingest, sinks
 from corpusloom.streaming import stream
 
@@ -110,6 +111,19 @@ def test_graph(spark):
     assert {r.id: r.degree for r in graph.degrees(spark.range(1, 7), e).collect()}[6] == 0
 
 
+def test_positions_over_many_partitions(spark, tmp_path):
+    rows = spark.range(1_000_000).select((F.col("id") * 7919 % 1_000_003).alias("k"), F.concat(F.lit("x" * 40), F.col("id").cast("string")).alias("wide"), (F.col("id") % 3).alias("few"))
+    rows.repartition(64).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    for order in (["k"], ["few"]):  # a key that a third of the rows share too
+        got = batch.numbered(df, order)
+        n, distinct, top = got.agg(F.count(F.lit(1)), F.countDistinct("position"), F.max("position")).first()
+        assert n == distinct == top == 1_000_000
+    w = got.agg(F.max(F.when(F.col("few") == 0, F.col("position"))), F.min(F.when(F.col("few") == 1, F.col("position")))).first()
+    assert w[1] == w[0] + 1
+    assert batch.numbered(df.limit(0), ["k"]).count() == 0
+
+
 def test_batches(spark):
     got = batch.fixed(spark.range(10).repartition(3), ["id"], 4).orderBy("id").collect()
     assert [r.batch for r in got] == [1] * 4 + [2] * 4 + [3] * 2
@@ -150,3 +164,47 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.type for r in spark.sql("select * from typed").collect()) == ["figure_caption", "narrative"]
+
+
+def test_lookup_join_of_null_and_hot_keys(spark):
+    big = spark.createDataFrame([(k, None if k % 3 == 0 else 1 if k % 3 == 1 else k) for k in range(900)], "id long, k long")
+    table = spark.createDataFrame([(1, "hot"), (5, "cold"), (None, "never")], "k long, v string")
+    got = {r.id: r.v for r in lookup_join(big, table, "k").collect()}
+    assert len(got) == 900 and sum(v == "hot" for v in got.values()) == 300 and got[5] == "cold" and got[0] is None
+    assert lookup_join(big, table, "k", "inner").count() == 301
+    with pytest.raises(Exception, match="not unique"):
+        lookup_join(big, table.unionByName(table), "k").collect()
+
+
+def test_resolution_with_a_hot_key_and_a_chain(spark):
+    rows = [(k, "same", f"u{k}") for k in range(300)] + [(1000 + k, f"a{k}", f"a{k + 1}") for k in range(6)] + [(5000, None, "")]
+    df = spark.createDataFrame(rows, "id long, x string, y string")
+    links = resolve.key_links(df, {"x": F.col("x"), "y": F.col("y")})
+    got = {r.id: r.component for r in resolve.components(links, df.select("id")).collect()}
+    assert {got[k] for k in range(300)} == {0} and got[5000] == 5000 and len(got) == 307
+    both = spark.createDataFrame([(1, 2), (2, 3), (9, 3), (7, 8)], "a long, b long")
+    assert {r.id: r.component for r in resolve.components(both).collect()} == {1: 1, 2: 1, 3: 1, 9: 1, 7: 7, 8: 7}
+
+
+def test_integration(spark):
+    known = spark.createDataFrame([(3, "Ridge", "x"), (9, None, None)], "id long, name string, description string")
+    found = spark.createDataFrame([(1, "ridge ", "longer one"), (2, "Lasso path", "a"), (3, "lasso path", "ab"), (4, "model", "too general"), (5, None, "x")], "ord long, name string, description string")
+    got = {tuple(r) for r in integrate.new_concepts(known, found).collect()}
+    assert got == {(3, "Ridge", "x"), (9, None, None), (10, "lasso path", "ab")}
+    edges = spark.createDataFrame([(1, "Ridge", "lasso path", "equivalent_to"), (2, " ridge", "Lasso path", "USES"), (3, "ridge", "nobody", "uses"), (4, None, "ridge", "uses"), (5, "ridge", "ridge", "uses"), (6, "ridge", "lasso path", "odd")], "ord long, source string, target string, relation string")
+    status = {r.ord: r.status for r in integrate.relation_statuses(integrate.new_concepts(known, found), edges).collect()}
+    assert status == {1: "ok", 2: "duplicate", 3: "unknown_target", 4: "unknown_source", 5: "self", 6: "bad_type"}
+
+
+def test_interpolation_and_norms(spark):
+    knots = spark.createDataFrame([("a", 0.0, 1.0), ("a", 2.0, 5.0)], "g string, x double, y double")
+    at = spark.createDataFrame([("a", -1.0), ("a", 0.5), ("a", 2.0), ("a", 3.0), ("b", 1.0)], "g string, x double")
+    assert {(r.g, r.x): r.y for r in numeric.interpolate(knots, at, ["g"], "x", "y").collect()} == {("a", -1.0): 1.0, ("a", 0.5): 2.0, ("a", 2.0): 5.0, ("a", 3.0): 5.0, ("b", 1.0): None}
+    cells = spark.createDataFrame([(1, 1, 3.0), (1, 2, 4.0)], "i int, j int, v double")
+    assert tuple(numeric.deviation(cells, cells.limit(0), ["i", "j"]).first()) == (5.0, 4.0)
+
+
+def test_quotes_of_few_words(spark):
+    quotes = spark.createDataFrame([(1, "of the supercalifragilistic kind of the"), (2, "supercalifragilisticexpiali docious"), (3, "short"), (4, None)], "id long, q string")
+    texts = spark.createDataFrame([(10, "in xof the supercalifragilistic kind of the end"), (11, "a supercalifragilisticexpiali docious word"), (12, None)], "p long, t string")
+    assert {r.id: r.home for r in lookup.quote_home(quotes, texts, "q", "t", "p").collect()} == {1: 10, 2: 11}
