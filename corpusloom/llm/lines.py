@@ -22,6 +22,9 @@ HEADER_WORDS = 24
 #: Share of the lines with a symbol that its prior counts for in the fit; rounds of the fit at most, change that ends it.
 PRIOR, ROUNDS, SETTLED = 1.0, 40, 1e-4
 
+#: Lines below which a sample is too small to learn from, and the prior stands.
+FEWEST = 1_000
+
 H, N, B = range(3)
 #: Log-odds of a look that a label can't have: only a marked number is a page number, only a line with traits a header.
 NEVER = -30.0
@@ -176,7 +179,7 @@ class LineModel:
         for page, x, s in texts:
             if len(x):
                 alike.setdefault((page, len(x)), []).append((x, s))
-        if not alike:
+        if sum(n * len(some) for (_, n), some in alike.items()) < FEWEST:
             return self
         blocks = [(page, np.stack([x for x, _ in some]), np.stack([s for _, s in some])) for (page, _), some in sorted(alike.items())]
         count = np.bincount(np.concatenate([x.ravel() for _, x, _ in blocks]), minlength=LOOKS).astype(float)
@@ -199,9 +202,10 @@ class LineModel:
                 for f, table in enumerate(kinds):
                     for c in (0, 1):
                         table[c] += np.bincount(s[..., f].ravel(), two[:, c], STARTS[f])
-            look = seen + guess + 1e-12
+            look = np.where(odds > NEVER, seen + guess + 1e-3, 0.0)  # what can't be stays so, however few lines a label has
             norm = lambda t: np.log(t / t.sum(-1, keepdims=True))
-            model = LineModel(np.log(look / look.sum(0)), norm(step), norm(begin), [norm(t) for t in kinds], float(body[1] / max(body.sum(), 1e-9)))
+            table = np.where(look > 0, np.log(np.maximum(look, 1e-300) / look.sum(0)), 2 * NEVER)
+            model = LineModel(table, norm(step), norm(begin), [norm(t) for t in kinds], float(body[1] / max(body.sum(), 1e-9)))
             if abs(total - last) <= SETTLED * abs(total):
                 break
             last = total
