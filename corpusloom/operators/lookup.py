@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import clip
+from corpusloom.operators.windows import holding
+from corpusloom.plans import cut
 
 
 def sibling_ends(sections: DataFrame, last: int = 20) -> DataFrame:
@@ -58,24 +60,14 @@ def with_fallback(first: DataFrame, second: DataFrame, key: str, row: str, enoug
 
 
 def quote_home(quotes: DataFrame, texts: DataFrame, quote: str, text: str, order: str, shortest: int = 20, opening: int = 60) -> DataFrame:
-    """Each quote with the first text, by ``order``, that holds its opening.
+    """Each quote with the first text, by ``order``, that holds its opening, wherever in a word that begins or ends.
 
-    An equi-join on the rarest of the words that stand whole in the opening (its first and last may be cut, unless the
-    quote is no longer than that), so that common words make few pairs, then the exact test. Openings in which no word
-    is sure to be whole, of two words or fewer, are looked for in all texts, a stated set of short ones. Quotes below
-    ``shortest`` characters are left out, nulls too.
+    The distinct openings are looked for in one pass over the texts, see :func:`windows.holding`; no text is copied or
+    paired. Quotes below ``shortest`` characters are left out, nulls and empty ones too.
     """
-    word = lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")
-    q = quotes.where(F.length(quote) >= shortest).withColumn("__n", clip(F.col(quote), opening)).withColumn("__ws", word(F.col("__n")))
-    inner = q.where(F.size("__ws") > 2).select("*", F.explode(F.array_distinct(F.slice("__ws", F.lit(2), F.size("__ws") - 2))).alias("__w"))
-    t = texts.where(F.col(text).isNotNull()).select(text, order, F.explode(F.array_distinct(word(F.col(text)))).alias("__w"))
-    often = t.groupBy("__w").agg(F.count(F.lit(1)).alias("__c"))
-    rarest = inner.join(often, "__w", "left").groupBy(*quotes.columns, "__n").agg(F.min(F.struct(F.coalesce("__c", F.lit(0)).alias("c"), "__w"))["__w"].alias("__w"))
-    hits = rarest.join(t, "__w").where(F.contains(F.col(text), F.col("__n"))).select(*quotes.columns, order)
-    short = q.where(F.size("__ws") <= 2).select(*quotes.columns, "__n")
-    rest = texts.where(F.col(text).isNotNull()).select(text, order).join(F.broadcast(short), F.contains(F.col(text), F.col("__n"))) if not short.isEmpty() else None
-    hits = hits if rest is None else hits.unionByName(rest.select(*quotes.columns, order))
-    return hits.groupBy(*quotes.columns).agg(F.min(order).alias("home"))
+    q = cut(quotes.where(F.length(quote) >= max(shortest, 1)).distinct().withColumn("__n", clip(F.col(quote), opening)))
+    found = holding(texts, cut(q.select("__n").distinct()), text, "__n", order, max(1, min(shortest, opening)))
+    return q.join(found.withColumnRenamed(order, "home"), "__n").select(*quotes.columns, "home")
 
 
 def containing(texts: DataFrame, names: list[str], text: str, order: list[str], limit: int = 20) -> DataFrame:

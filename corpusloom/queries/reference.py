@@ -185,8 +185,8 @@ def verbatim_slice(s, d):
 
 @query("""WITH q AS (SELECT DISTINCT id, quote FROM concepts WHERE length(quote) >= 20), p AS (SELECT DISTINCT id paragraph_id, translate(text, chr(10), ' ') text FROM paragraphs WHERE text IS NOT NULL) SELECT q.id, min(paragraph_id) home FROM q JOIN p ON contains(text, substring(quote, 1, 60)) GROUP BY q.id, quote""")
 def quote_prefix_lookup(s, d):
-    q = T(s, d, "concepts").select("id", "quote").distinct().where("quote is not null")
-    p = T(s, d, "paragraphs").select(F.col("id").alias("paragraph_id"), F.translate("text", "\n", " ").alias("text")).distinct().where("text is not null")
+    q = T(s, d, "concepts").select("id", "quote")
+    p = T(s, d, "paragraphs").select(F.col("id").alias("paragraph_id"), F.translate("text", "\n", " ").alias("text"))
     return lookup.quote_home(q, p, "quote", "text", "paragraph_id").select("id", "home")
 
 
