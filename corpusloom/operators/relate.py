@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,11 @@ def _tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), _TOKEN), lambda x: x != "")
 
 
+def _neighbours(words: Column) -> Column:
+    """Each two words that follow each other, parted by a blank."""
+    return F.filter(F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b)), lambda x: x.isNotNull())
+
+
 def mention_pairs(texts: DataFrame, names: DataFrame, text: str = "text", name: str = "name") -> DataFrame:
     """Every text with every name that it mentions: an equi-join on the name's first two words, then the exact test.
 
@@ -41,8 +48,7 @@ def mention_pairs(texts: DataFrame, names: DataFrame, text: str = "text", name:
     each of its words. Names without a letter or digit are found by no word and left out.
     """
     rows = cut(texts.withColumn("__row", F.monotonically_increasing_id()))
-    pairs = F.filter(F.zip_with("__w", F.slice("__w", F.lit(2), F.size("__w")), lambda a, b: F.concat(a, F.lit(" "), b)), lambda x: x.isNotNull())
-    keys = rows.where(F.col(text).isNotNull()).select("__row", _tokens(F.col(text)).alias("__w")).select("__row", F.explode(F.array_distinct(F.concat("__w", pairs))).alias("__tok"))
+    keys = rows.where(F.col(text).isNotNull()).select("__row", _tokens(F.col(text)).alias("__w")).select("__row", F.explode(F.array_distinct(F.concat("__w", _neighbours(F.col("__w"))))).alias("__tok"))
     n = names.withColumn("__tok", F.array_join(F.slice(_tokens(F.col(name)), 1, 2), " ")).where("__tok <> ''")
     n = F.broadcast(n) if n.limit(FEW + 1).count() <= FEW else n
     return rows.join(keys.join(n, "__tok").drop("__tok"), "__row").where(mentions(F.col(text), F.col(name))).drop("__row")
@@ -64,6 +70,32 @@ def section_generalisations(concepts: DataFrame, shortest: int = 4) -> DataFrame
     return pairs.select("source", "target", F.lit("generalizes").alias("relation"), F.lit(0.5).alias("confidence"), F.lit(2).alias("stage"), F.struct("__b", "__a").alias("emitted"))
 
 
+def section_edges(concepts: DataFrame, shortest: int = 4) -> DataFrame:
+    """The edges of :func:`ordered_prerequisites` and :func:`section_generalisations`, each source by the first concept
+    of its name in the section alone: the same ends, without a row for each pair of concepts.
+
+    One pass over the words of the descriptions; those that lead a name meet the names of the section and its parent,
+    then comes the exact test. Names without a letter or digit, which no word finds, are looked for in all descriptions there.
+    """
+    key = F.array_join(F.slice(_tokens(F.col("source")), 1, 2), " ")
+    named = concepts.where((F.length("name") >= shortest) & F.col("section").isNotNull())
+    firsts = cut(named.groupBy(F.col("name").alias("source"), F.col("section").alias("__s")).agg(F.min("ord").alias("__a")).withColumn("__tok", key))
+    odd, two, n = firsts.agg(F.max(F.col("__tok") == ""), F.max(F.contains("__tok", F.lit(" "))), F.count_distinct("__tok")).first()
+    b = concepts.where("section is not null and description is not null").withColumn("__p", parent_number(F.col("section")))
+    rows = cut(b.select(F.col("name").alias("target"), "section", "__p", F.col("ord").alias("__b"), "description", F.monotonically_increasing_id().alias("__row")))
+    at = F.explode(F.array_compact(F.array("section", "__p"))).alias("__s")
+    words = rows.select("__row", "section", "__p", _tokens(F.col("description")).alias("__w"))
+    toks = words.select("__row", "section", "__p", F.explode(F.array_distinct(F.concat("__w", _neighbours(F.col("__w"))) if two else F.col("__w"))).alias("__tok"))
+    leads = firsts.select("__tok").distinct()
+    near = toks.join(F.broadcast(leads) if n <= FEW else leads, "__tok", "left_semi").select("__row", "__tok", at).join(firsts, ["__tok", "__s"]).drop("__tok")
+    if odd:
+        near = near.unionByName(rows.select("__row", at).join(firsts.where("__tok = ''").drop("__tok"), "__s"))
+    same = F.col("__s") == F.col("section")
+    found = rows.join(near, "__row").where((~same | (F.col("__a") < F.col("__b"))) & mentions(F.col("description"), F.col("source")))
+    either = lambda x, y: F.when(same, F.lit(x)).otherwise(F.lit(y))
+    return found.select("source", "target", either("prerequisite", "generalizes").alias("relation"), either(0.7, 0.5).alias("confidence"), either(1, 2).alias("stage"), F.struct("__b", "__a").alias("emitted"))
+
+
 def cue_relations(concepts: DataFrame, cues: tuple = CUES) -> DataFrame:
     """Relations that a cue in a description announces: with the first concept, in list order, mentioned after the cue.
 
@@ -71,8 +103,9 @@ def cue_relations(concepts: DataFrame, cues: tuple = CUES) -> DataFrame:
     """
     rules = F.array(*(F.struct(F.lit(k).alias("cue"), F.lit(c[2]).alias("flip"), F.lit(c[3]).alias("relation"), F.lit(c[4]).alias("confidence")) for k, c in enumerate(cues)))
     tails = F.flatten(F.array(*(F.transform(F.sequence(F.lit(2), F.greatest(F.size(F.split("description", "(?i)" + c[1], -1)), F.lit(2))), _tail(c[1], k)) for k, c in enumerate(cues))))
-    spots = concepts.select(F.col("name").alias("this"), F.col("ord").alias("__o"), F.posexplode(tails).alias("__n", "t")).where("t.tail is not null").select("this", "__o", "__n", "t.cue", "t.tail")
-    found = mention_pairs(spots, concepts.select("name", F.col("ord").alias("__c")), "tail", "name")
+    cued = concepts.where(reduce(Column.__or__, (F.col("description").rlike("(?i)" + c[1]) for c in cues)))
+    spots = cued.select(F.col("name").alias("this"), F.col("ord").alias("__o"), F.posexplode(tails).alias("__n", "t")).where("t.tail is not null").select("this", "__o", "__n", "t.cue", "t.tail")
+    found = mention_pairs(spots, concepts.groupBy("name").agg(F.min("ord").alias("__c")), "tail", "name")
     nearest = found.groupBy("this", "__o", "__n", "cue").agg(F.min(F.struct("__c", "name"))["name"].alias("other")).where("other <> this")
     rule = F.get(rules, F.col("cue"))
     flip = rule["flip"]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import classify, numeric, text
 from corpusloom.operators import batch, extract, graph, lookup, merge, relate, report, resolve
 from corpusloom.operators.hierarchy import hierarchy
+from corpusloom.plans import cut
 from corpusloom.sources import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -329,9 +330,8 @@ def concept_mentions(s, d):
 
 @query()
 def relation_edges(s, d):
-    c = _concept_list(s, d)
-    edges = relate.ordered_prerequisites(c).unionByName(relate.section_generalisations(c)).unionByName(relate.cue_relations(c))
-    return relate.best_edges(edges)
+    c = cut(_concept_list(s, d))
+    return relate.best_edges(relate.section_edges(c).unionByName(relate.cue_relations(c)))
 
 
 @query("""SELECT source_id, target_id, relationship_type relation, max(coalesce(confidence, 0)) confidence FROM concept_relationships GROUP BY 1, 2, 3""")
