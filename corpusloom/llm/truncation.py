@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-import regex
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +23,8 @@ ORDERS = (24, 16, 11, 7, 4)
 BITS_A_CONTEXT, FILTER_BITS = 16, 1 << 28
 #: Weight, in occurrences, of the next shorter context in the estimate for a longer one; chance of an end anywhere.
 BACKOFF, ANYWHERE = 3.0, 1 / 110
-#: Characters of texts laid out at once by a task.
-SLICE = 1_000_000
+#: Characters of texts laid out at once by a task, few enough for a core's cache; contexts that it gathers before it counts them.
+SLICE, GATHERED = 100_000, 2_000_000
 #: Width of the bins of odds in which thresholds are fitted, the odds they reach to, rounds of the fit at most.
 BIN, REACH, ROUNDS = 0.5, 40, 200
 #: Odds below which the model alone settles that a text ends, by its end mark: where it ends likelier than not, or, in
@@ -33,9 +34,10 @@ ENDS = {"none": 0.0, "mark": -5.0}
 #: a column's odds count for in those of one of its languages.
 SHARES, PRIOR, POOLED = {"stop": 0.0005, "mark": 0.7, "none": 0.3}, 5.0, 100.0
 
-_MARKS = regex.compile(r"[\s.…,;:\-–—¬~�]+$")
-_STOPPED = regex.compile(r"(?<!\.)[.!?]['\"”’»)\]]*$|[。！？]$")
-_MARKED = regex.compile(r"(?:\.\.|…|�|[,;:\-–—¬~])$")
+_BLANK = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_MARKS = _BLANK + ".…,;:-–—¬~�"
+_MARKED = ("..", *"…�,;:-–—¬~")
+_CLOSING = "'\"”’»)]"
 _STOPS = [ord(c) for c in ".!?"]
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -55,24 +57,28 @@ class _Plain(dict):
 
 
 _PLAIN = _Plain()
-_SQUEEZE = regex.compile(r"[0]{2,}")
+_PLAIN_ASCII = bytes(ord(_PLAIN[k].lower()) for k in range(128)).ljust(256)
+_SQUEEZE = re.compile("00+")
 
 
 def plain(text: str) -> str:
     """Lower case, look-alike characters and line breaks undone, numbers as one 0."""
-    text = _SQUEEZE.sub("0", text.translate(_PLAIN))
-    return " ".join(text.split(" ")).lower()
+    text = text.encode().translate(_PLAIN_ASCII).decode() if text.isascii() else text.translate(_PLAIN)
+    return (_SQUEEZE.sub("0", text) if "00" in text else text).lower()
 
 
 def end_of(text: str) -> str:
     """The text without the marks at its end."""
-    return _MARKS.sub("", text)
+    return text.rstrip(_MARKS)
 
 
 def mark_of(text: str) -> str:
     """What stands at the end: stop, mark (ellipsis, comma, dash and the like) or none."""
     text = text.rstrip()
-    return "mark" if _MARKED.search(text) else "stop" if _STOPPED.search(text) else "none"
+    if text.endswith(_MARKED):
+        return "mark"
+    closed = text.rstrip(_CLOSING)
+    return "stop" if text.endswith(("。", "！", "？")) or (closed.endswith((".", "!", "?")) and closed[-2:-1] != ".") else "none"
 
 
 # Common little words by language.
@@ -104,10 +110,10 @@ def _layout(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     codes = np.frombuffer("".join(pad + t + "\x03" for t in texts).encode("utf-32-le"), np.uint32)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + len(pad) + 1
     ends = np.concatenate([[0], np.cumsum(sizes)[:-1]]) + len(pad) + np.fromiter((len(end_of(t)) for t in texts), np.int64, len(texts))
-    after, before = np.concatenate([codes[1:], [3]]), np.concatenate([[3], codes[:-1]])
-    stop = np.isin(codes, _STOPS) & np.isin(after, [32, 3, 34, 39, 41, 0x201D]) & (before != 46)
+    stop = np.flatnonzero((codes == _STOPS[0]) | (codes == _STOPS[1]) | (codes == _STOPS[2]))
+    stop = stop[np.isin(codes[stop + 1], [32, 3, 34, 39, 41, 0x201D]) & (codes[stop - 1] != 46)]
     kind = np.ones(len(codes) + 1, np.int8)
-    kind[:-1][stop] = 0
+    kind[stop] = 0
     kind[:-1][codes < 4] = 3
     kind[-1] = 3
     kind[ends[kind[ends] != 0]] = 2
@@ -130,24 +136,29 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def _hashes(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(k, hashes): of the ``ORDERS[k]`` characters before each position, shortest first.
-
-    One running sum of mixed characters times powers of an odd base gives the windows of every length by a difference,
-    set to the same place by a power of the inverse.
-    """
-    up, down = _power(len(codes) + 1)
+def _sums(codes: np.ndarray) -> np.ndarray:
+    """Running sums of mixed characters times powers of an odd base, from which :func:`_hash` takes windows of any length."""
+    up, _ = _power(len(codes) + 1)
     with np.errstate(over="ignore"):
         c = (codes.astype(np.uint64) + np.uint64(1)) * _MIX
         c ^= c >> np.uint64(29)
+        c *= up[:-1]
         sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(c * up[:-1], dtype=np.uint64, out=sums[1:])
-        for k in reversed(range(len(ORDERS))):
-            d = ORDERS[k]
-            h = sums.copy()
-            h[d:] -= sums[:-d]
-            h *= down
-            yield k, ((h ^ (h >> np.uint64(31))) * _MIX) + np.uint64(d)
+        np.cumsum(c, dtype=np.uint64, out=sums[1:])
+    return sums
+
+
+def _hash(sums: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Of the ``ORDERS[k]`` characters before the positions ``at``: a difference of sums, set to the same place by a power of the inverse."""
+    _, down = _power(len(sums))
+    with np.errstate(over="ignore"):
+        h = sums[at]
+        h -= sums[at - ORDERS[k]]
+        h *= down[at]
+        h ^= h >> np.uint64(31)
+        h *= _MIX
+        h += np.uint64(ORDERS[k])
+    return h
 
 
 def _slices(texts: list[str]) -> Iterator[list[str]]:
@@ -167,26 +178,28 @@ def _final_contexts(rows: DataFrame) -> DataFrame:
     """(table_name, row_id, source, mark, language, body, plain, own, h0..h4) of each text; body is a hash of its plain
     form without the marks at its end, on which the contexts depend alone."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b["text"].tolist()
+            texts, string = b["text"].to_pylist(), b["text"].type
             forms = [plain(t) for t in texts]
             bodies = [end_of(t) for t in forms]
             codes, ends, kind = _layout([t[max(0, len(e) - ORDERS[0]) :] for t, e in zip(forms, bodies)])  # only the last characters tell
-            out = b[["table_name", "row_id", "source"]].copy()
-            out["mark"], out["language"] = [mark_of(t) for t in texts], [language_of(t) for t in forms]
+            sums = _sums(codes)
+            out = {c: b[c] for c in ("table_name", "row_id", "source")}
+            out["mark"], out["language"] = pa.array(map(mark_of, texts), string), pa.array(map(language_of, forms), string)
             out["body"] = np.fromiter(map(xxhash.xxh64_intdigest, bodies), np.uint64, len(forms)).view(np.int64)
-            out["plain"], out["own"] = forms, kind[ends].astype(np.int32)
-            for k, h in _hashes(codes):
-                out[f"h{k}"] = h[ends].view(np.int64)
-            yield out[["table_name", "row_id", "source", "mark", "language", "body", "plain", "own", *(f"h{k}" for k in range(len(ORDERS)))]]
+            out["plain"], out["own"] = pa.array(forms, string), kind[ends].astype(np.int32)
+            for k in range(len(ORDERS)):
+                out[f"h{k}"] = _hash(sums, ends, k).view(np.int64)
+            yield pa.RecordBatch.from_pydict(out)
 
-    return rows.mapInPandas(run, "table_name string, row_id long, source string, mark string, language string, body long, plain string, own int, " + ", ".join(f"h{k} long" for k in range(len(ORDERS))))
+    return rows.mapInArrow(run, "table_name string, row_id long, source string, mark string, language string, body long, plain string, own int, " + ", ".join(f"h{k} long" for k in range(len(ORDERS))))
 
 
-def _filter(contexts: DataFrame, bits: int, part: int, parts: int) -> np.ndarray:
+def _filter(texts: DataFrame, bits: int, part: int, parts: int) -> np.ndarray:
     """The bits of the final contexts of one part: at most FILTER_BITS / 64 numbers come to the driver."""
-    h = contexts.where(F.pmod("h", F.lit(parts)) == part)
+    names = [f"h{k}" for k in range(len(ORDERS))]
+    h = texts.where(F.pmod(names[-1], F.lit(parts)) == part).select(F.explode(F.array(*names)).alias("h"))
     slot = F.shiftrightunsigned("h", 20).bitwiseAND(bits - 1)
     words = h.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))).alias("bits")).toPandas()
     out = np.zeros(bits // 64, np.int64)
@@ -194,53 +207,78 @@ def _filter(contexts: DataFrame, bits: int, part: int, parts: int) -> np.ndarray
     return out.view(np.uint64)
 
 
-def _all_counts(texts: DataFrame, contexts: DataFrame) -> DataFrame:
-    """:func:`_counts` of all contexts (h), in as many passes over the texts as their filters need."""
-    n = contexts.count()
+def _all_counts(texts: DataFrame) -> DataFrame:
+    """:func:`_counts` of all final contexts, in as many passes over the texts as their filters need.
+
+    The contexts of one end are all in the part of the shortest, so that a part has the endings of its contexts.
+    """
+    n = texts.select(F.explode(F.array(*(f"h{k}" for k in range(len(ORDERS))))).alias("h")).agg(F.approx_count_distinct("h", 0.02)).first()[0]
     parts = -(-n * BITS_A_CONTEXT // FILTER_BITS) or 1
     bits = 1 << min(max(n // parts * BITS_A_CONTEXT, 1 << 20).bit_length(), FILTER_BITS.bit_length() - 1)
-    return reduce(DataFrame.unionByName, [_counts(texts, _filter(contexts, bits, k, parts), k, parts) for k in range(parts)])
+    plain_ = spread(texts.select("plain"))
+    return reduce(DataFrame.unionByName, [_counts(plain_, _filter(texts, bits, k, parts), k, parts) for k in range(parts)])
+
+
+def _merged(some: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, each once, and their rows of three counts added up."""
+    h, table = np.concatenate([h for h, _ in some]), np.concatenate([t for _, t in some])
+    order = np.argsort(h)
+    h = h[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else order
+    return h[first], np.add.reduceat(table[order], first) if len(h) else table
+
+
+def _counted(met: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the hashes met before each of three kinds of position."""
+    some = [np.unique(np.concatenate(h), return_counts=True) for h in met]
+    return _merged([(h, n[:, None] * (np.arange(3) == k)) for k, (h, n) in enumerate(some)])
 
 
 def _counts(texts: DataFrame, bits: np.ndarray, part: int = 0, parts: int = 1) -> DataFrame:
-    """(h, ended, went_on, stopped) of the contexts in the filter, over every position of every text in its plain form."""
+    """(h, ended, went_on, stopped) of the contexts in the filter, over every position of every text in its plain form.
+
+    A context is looked for only where its ending, a shorter one, was found, as the endings of all in the filter are in it.
+    """
     sent = texts.sparkSession.sparkContext.broadcast(bits)
     size = np.uint64(len(bits) * 64 - 1)
 
-    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        found, where = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
-        table = np.zeros((len(found), 3), np.int64)
-        np.add.at(table, where, np.concatenate([t for _, t in parts]))
-        return found, table
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = sent.value.view(np.uint8)
         got: list[tuple[np.ndarray, np.ndarray]] = []
+        met: list[list[np.ndarray]] = [[], [], []]
+        held = 0
         for b in batches:
-            for some in _slices(b["plain"].tolist()):
+            for some in _slices(b["plain"].to_pylist()):
                 codes, _, kind = _layout(some)
-                for _, h in _hashes(codes):
-                    slot = (h >> np.uint64(20)) & size
-                    word = sent.value[slot >> np.uint64(6)]
-                    pick = np.flatnonzero(((word >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool) & (kind < 3))
-                    h = h[pick]
-                    if parts > 1:
-                        mine = h.view(np.int64) % parts == part
-                        h, pick = h[mine], pick[mine]
-                    found, where = np.unique(h, return_inverse=True)
-                    got.append((found, np.bincount(where * 3 + kind[pick], minlength=3 * len(found)).reshape(-1, 3)))
-                if sum(len(h) for h, _ in got) > 1_000_000:
-                    got = [merged(got)]
+                sums = _sums(codes)
+                for what, hashes in enumerate(met):
+                    at = np.flatnonzero(kind == what)
+                    for k in reversed(range(len(ORDERS))):
+                        h = _hash(sums, at, k)
+                        if parts > 1 and ORDERS[k] == ORDERS[-1]:
+                            mine = h.view(np.int64) % parts == part
+                            at, h = at[mine], h[mine]
+                        slot = (h >> np.uint64(20)) & size
+                        found = np.flatnonzero(look[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+                        at, h = at[found], h[found]
+                        hashes.append(h)
+                        held += len(h)
+                if held > GATHERED:
+                    got = [_merged([*got, _counted(met)])]
+                    met, held = [[], [], []], 0
                     if len(got[0][0]) > 500_000:
-                        yield _frame(*got.pop())
+                        yield _batch(*got.pop())
+        if met[0]:
+            got.append(_counted(met))
         if got:
-            yield _frame(*merged(got))
+            yield _batch(*_merged(got))
 
-    out = texts.select("plain").mapInPandas(run, "h long, ended long, went_on long, stopped long")
+    out = texts.mapInArrow(run, "h long, ended long, went_on long, stopped long")
     return out.groupBy("h").agg(*(F.sum(c).alias(c) for c in ("ended", "went_on", "stopped")))
 
 
-def _frame(h: np.ndarray, table: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"h": h.view(np.int64), "ended": table[:, 0], "went_on": table[:, 1], "stopped": table[:, 2]})
+def _batch(h: np.ndarray, table: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"h": h.view(np.int64), **{c: np.ascontiguousarray(table[:, k], np.int64) for k, c in enumerate(("ended", "went_on", "stopped"))}})
 
 
 def scored(rows: DataFrame) -> DataFrame:
@@ -260,8 +298,7 @@ def scored(rows: DataFrame) -> DataFrame:
     one = F.min(F.struct("plain", "own", *names)).alias("t")
     texts = cut(finals.groupBy("body").agg(one).select("body", "t.*"))
     contexts = texts.select(*names).distinct()
-    asked = cut(contexts.select(F.explode(F.array(*names)).alias("h")).distinct())
-    counts = _all_counts(spread(texts.select("plain")), asked)
+    counts = _all_counts(texts)
     long = contexts.select("h0", F.posexplode(F.array(*names)).alias("k", "h")).join(counts, "h", "left")
     per = long.groupBy("h0").agg(*(F.max(F.when(F.col("k") == k, F.struct(*(F.coalesce(c, F.lit(0)).alias(c) for c in ("ended", "went_on", "stopped"))))).alias(f"c{k}") for k in range(len(ORDERS))))
     for own, name in ((0, "odds_ended"), (2, "odds_stopped")):

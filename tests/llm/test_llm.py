@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -239,6 +240,30 @@ def test_truncation_of_nothing(spark):
     assert truncation.truncated(spark.createDataFrame([], "table_name string, row_id long, source string, text string")).collect() == []
 
 
+def test_truncation_reads_long_runs_of_marks_once():
+    leader, began = "Kernels " + ". " * 100_000 + "12", time.process_time()
+    assert truncation.end_of(leader) == leader and truncation.end_of(leader + " ...") == leader
+    assert truncation.mark_of("!'" * 100_000 + "a") == "none" and truncation.mark_of("a" + "'" * 100_000) == "none"
+    assert time.process_time() - began < 2
+    assert [truncation.mark_of(t) for t in ("a.", "a.')", "a..", "a…", "a..!", "a?\n", "a。", "a -", "a", "")] == ["stop", "stop", "mark", "mark", "none", "stop", "stop", "mark", "none", "none"]
+
+
+def test_truncation_keeps_ids_and_counts_in_parts(spark, monkeypatch):
+    heads, tails = ["the smoother", "a kernel", "each loss"], ["vanishes in the limit", "is reported with its error", "shrinks over the range"]
+    texts = [f"{heads[k % 3]} number {'abcdefghij'[k % 7]}{'abcdefghij'[k % 10]} {tails[k // 3 % 3]}." for k in range(300)]
+    ids = [2**60 + k for k in range(300)]
+    rows = [("t", k, "src", t if k % 9 else t[:-9]) for k, t in zip(ids, texts)] + [("t", None, "src", "a kernel of no number at all.")]
+    df = spark.createDataFrame(rows, "table_name string, row_id long, source string, text string")
+
+    def odds():
+        return sorted((r.row_id or 0, r.mark, r.odds) for r in truncation.scored(df).select("row_id", "mark", "odds").collect())
+
+    whole = odds()
+    assert [r[0] for r in whole] == [0, *ids]
+    monkeypatch.setattr(truncation, "FILTER_BITS", 1 << 12)
+    assert odds() == whole
+
+
 # Problem 10
 
 
